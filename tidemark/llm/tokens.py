@@ -9,6 +9,7 @@ find its k-th place without decoding the other planes' tokens, or decode all ids
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -24,11 +25,13 @@ from tidemark.llm.common import materialize, read_file, running_total, work_dir,
 
 MAGIC = b"TMWAVE1\n"
 #: Ids in a shard: a document is never cut, so one longer than this makes a longer shard.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_000_000
 #: Bits of a plane for each entry of its rank directory.
 RANK_STEP = 512
 #: Distinct chunks of text whose ids a task remembers.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 1_000_000
+#: How byte-level vocabularies write a space.
+SPACE_SIGN = "Ġ"
 
 
 class WaveletMatrix:
@@ -42,11 +45,14 @@ class WaveletMatrix:
         levels = max(1, int(ids.max()).bit_length()) if ids.size else 1
         a, zeros, planes, ranks = ids.astype(np.uint16 if levels <= 16 else np.uint32), [], [], []
         for level in range(levels - 1, -1, -1):
-            bit = ((a >> level) & 1).astype(bool)
+            bit = (a & a.dtype.type(1 << level)) != 0
             packed = np.packbits(bit)
             ones = np.add.reduceat(np.bitwise_count(packed), np.arange(0, max(1, packed.size), RANK_STEP // 8), dtype=np.int64) if packed.size else np.zeros(0, np.int64)
-            a = np.concatenate((a[~bit], a[bit]))
             zeros.append(int(ids.size - ones.sum()))
+            dealt = np.empty_like(a)
+            np.compress(~bit, a, out=dealt[: zeros[-1]])
+            np.compress(bit, a, out=dealt[zeros[-1] :])
+            a = dealt
             planes.append(packed)
             ranks.append(np.concatenate(([0], np.cumsum(ones))).astype(np.uint32))
         return cls(int(ids.size), zeros, planes, ranks)
@@ -109,10 +115,11 @@ class WaveletMatrix:
         """All ids."""
         a = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for k, level in enumerate(range(len(self.planes) - 1, -1, -1)):
-            bit = np.unpackbits(self.planes[level], count=self.n).astype(bool)
+            bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            a[self.zeros[level] :] |= a.dtype.type(1 << k)
             back = np.empty_like(a)
-            back[~bit] = a[: self.zeros[level]]
-            back[bit] = a[self.zeros[level] :] | a.dtype.type(1 << k)
+            back[np.flatnonzero(~bit)] = a[: self.zeros[level]]
+            back[np.flatnonzero(bit)] = a[self.zeros[level] :]
             a = back
         return a.astype(np.uint32)
 
@@ -166,18 +173,38 @@ class Encoder:
     """Ids of texts by a byte-level BPE of the tokenizers library, equal to encoding each whole text.
 
     This vocabulary's pre-tokens never hold a space after another character, so a text can be cut before each single space;
-    each distinct chunk is then encoded once. Texts where that is not certain (a space next to other white space or at the
-    end, or a special token's string) are encoded whole."""
+    each distinct chunk is then encoded once, many in one string: their ids part at the tokens that start with a space.
+    Texts where that is not certain (a space next to other white space or at the end, or a special token's string) are
+    encoded whole."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join([r" (?=\s|$)", *special]))
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.spaced[k] = token.startswith(SPACE_SIGN)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode new chunks: those with a space in front as one string, the others one by one."""
+        spaced = [c for c in chunks if c[0] == " "]
+        for i in range(0, len(spaced), 2000):
+            part = spaced[i : i + 2000]
+            (ids,) = self._ids(["".join(part)])
+            at = np.flatnonzero(self.spaced[ids])
+            if at.size == len(part):
+                data, cut = ids.tobytes(), [*(4 * at).tolist(), 4 * ids.size]
+                self.known.update(zip(part, [data[x:y] for x, y in zip(cut, cut[1:])]))
+            else:
+                self.known.update(zip(part, [x.tobytes() for x in self._ids(part)]))
+        rest = [c for c in chunks if c[0] != " "]
+        self.known.update(zip(rest, [x.tobytes() for x in self._ids(rest)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -187,15 +214,17 @@ class Encoder:
         for t in texts:
             if self.odd.search(t):
                 cut.append(None)
-                continue
-            first, *rest = t.split(" ")
-            cut.append([first, *[" " + x for x in rest]] if first else [" " + x for x in rest])
-        new = [x for x in {x for c in cut if c for x in c} if x not in self.known]
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            self.known.update(zip(part, self._ids(part)))
-        whole = iter(self._ids([t for t, c in zip(texts, cut) if c is None]))
-        return [next(whole) if c is None else b"".join(map(self.known.__getitem__, c)) for c in cut]
+            elif not t:
+                cut.append([])
+            else:
+                chunks = t.replace(" ", "\0 ").split("\0") if "\0" not in t else None
+                cut.append(chunks if chunks is None or chunks[0] else chunks[1:])
+        known = self.known
+        new = [x for x in {x for c in cut if c for x in c} if x not in known]
+        if new:
+            self._learn(new)
+        whole = iter([self._ids([t])[0].tobytes() for t, c in zip(texts, cut) if c is None])
+        return [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
