@@ -63,7 +63,7 @@ def test_links_keep_connectivity_of_a_dense_group(spark, size):
             x ^= 1 << int(b)
         fps.add(x)
     fps = sorted(fps)
-    edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), size)
+    edges = simhash.links(spark.createDataFrame([(f, [f]) for f in fps], "node long, fps array<long>"), size)
     got = {r.node: r.component for r in simhash.connected_components(edges).collect()}
     comp = {f: f for f in fps}
     for i, a in enumerate(fps):
@@ -79,3 +79,24 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1100)]
     got = {r.node: r.component for r in simhash.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{i: 1000 for i in range(1000, 1100)}}
+
+
+def test_similar_groups(spark):
+    """Clear copies meet, clear strangers do not: the groups of brute force over shingle sets, away from the threshold."""
+    rng = random.Random(7)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows = [(None, None), (1, ""), (2, " "), (3, "short text"), (4, "Short  text"), (4, "short text")]
+    for i in range(60):
+        base = say(rng.randint(150, 600))
+        rows.append((100 + i * 10, " ".join(base)))
+        for j in range(1, 4):
+            copy = list(base)
+            if j == 1:
+                copy[rng.randrange(len(copy))] = "NEW"
+            elif j == 2:
+                copy = copy[len(copy) // 2 :] + say(len(copy) // 2)
+            rows.append((100 + i * 10 + j, "\n".join(copy)))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = {3: 3, 4: 3} | {100 + i * 10 + j: 100 + i * 10 + (j == 2) * 2 for i in range(60) for j in range(4)}
+    assert got == want
+    assert simhash.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0

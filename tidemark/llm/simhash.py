@@ -11,6 +11,7 @@ Lists over ``LIST_SIZE`` are split exactly: of the other 5 bytes at least 2 are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -40,6 +41,10 @@ KINDS = [tuple(p for p in group if p != left) for group in (range(4), range(4, 8
 SPLITS = [[pair for pair in combinations([p for p in range(8) if p not in kind], 2)] for kind in KINDS]
 
 
+#: Of ``similar_groups``: fingerprints of the distinct words, and 64-bit parts of the wide fingerprint of the shingles.
+TABLES, WIDE = 12, 8
+
+
 def fingerprint(text: bytes | None, width: int = 3) -> int:
     """SimHash of the word shingles (A-Z lower-cased): a bit is 1 if more than half the shingles' XXH64 have it."""
     words = (text or b"").lower().split()
@@ -58,6 +63,63 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little", signed=True)
 
 
+def _stretched(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """parts 64-bit numbers from each hash, as bytes."""
+    steps = np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = hashes[:, None] + steps[None, :]
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))).view(np.uint8)
+
+
+def _majority(hashes: np.ndarray, parts: int) -> list[int]:
+    counts = np.zeros(64 * parts, np.int64)
+    for at in range(0, hashes.size, 1024):
+        counts += np.unpackbits(_stretched(hashes[at : at + 1024], parts), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * counts > hashes.size, bitorder="little").view("<i8").tolist()
+
+
+def sketches(text: bytes | None, width: int) -> tuple[int, list[int], list[int]] | None:
+    """A hash of all words, ``TABLES`` fingerprints of the distinct words, the wide fingerprint of the shingles; None without words."""
+    words = (text or b"").lower().split()
+    if not words:
+        return None
+    digest, data = xxhash.xxh3_64_intdigest, b" ".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    n = max(1, len(words) - width + 1)
+    shingles = np.array([digest(data[i:j]) for i, j in zip((ends - sizes)[:n].tolist(), ends[-n:].tolist())], np.uint64)
+    distinct = np.array([digest(w) for w in set(words)], np.uint64)
+    return np.array(digest(data), np.uint64).view(np.int64).item(), _majority(distinct, TABLES), _majority(shingles, WIDE)
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, list_size: int = LIST_SIZE) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id reached over links) for each row that has words.
+
+    Rows are linked if they have the same words (A-Z lower-cased), or if some fingerprint of their distinct words differs in at
+    most 3 bits and the similarity of their ``width``-word shingles, taken from the wide fingerprint, is ``similarity`` or
+    more: the share of differing bits is the angle of two sets over pi, and sets of equal size with Jaccard similarity s have
+    cosine 2 s / (1 + s). A text without words is left out; null ids name a group only if all its ids are null."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("fps", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(i, s) for i, t in zip(batch.column("doc_id").to_pylist(), as_bytes(batch, "text")) if (s := sketches(t, width))]
+            yield from batches_of(schema, [[i for i, _ in made], *[[s[c] for _, s in made] for c in range(3)]])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, node long, fps array<long>, wide array<long>")
+    own = materialize(rows, "sketches")
+    nodes = own.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fps").alias("fps"), F.first("wide").alias("wide"))
+    nodes = materialize(nodes, "texts")
+    most = int(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    parts = materialize(connected_components(links(nodes.select("node", "fps", "wide"), list_size, most)), "components")
+    named = nodes.select(F.col("node").alias("text_node"), "first_id").join(parts, F.col("text_node") == F.col("node"), "left")
+    named = named.select("text_node", "first_id", F.coalesce("component", "text_node").alias("component"))
+    names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    table = named.join(names, "component").select("text_node", "component_id")
+    return own.select("doc_id", "node").join(table, F.col("node") == F.col("text_node")).select("doc_id", "component_id")
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fp (long) of each row."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -69,52 +131,66 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
 
 
-def list_links(fps: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the members of one list.
+def list_links(fps: np.ndarray, max_bits: int = MAX_BITS, wide: np.ndarray | None = None, max_wide: int = 0) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the members of one list, as pairs of their places.
 
-    Members are taken one after another; each is tallied against those not yet reached: shared positional bytes first,
-    bits for those that share enough."""
-    open_, links, queue = fps.astype(np.int64), [], []
+    Members are taken one after another; each is tallied against those not yet reached: shared positional bytes first, then
+    bits for those that share enough, then, if there are any, the bits of the wide fingerprints."""
+    fps, open_, links, queue = fps.astype(np.int64), np.arange(len(fps)), [], []
     while open_.size or queue:
         if not queue:
             queue, open_ = [int(open_[-1])], open_[:-1]
         one = queue.pop()
         if not open_.size:
             break
-        x = open_ ^ np.int64(one)
+        x = fps[open_] ^ fps[one]
         shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
         near = np.flatnonzero(shared >= 8 - max_bits)
         near = near[np.bitwise_count(x[near].view(np.uint64)) <= max_bits]
+        if wide is not None and near.size:
+            near = near[np.bitwise_count((wide[open_[near]] ^ wide[one]).view(np.uint64)).sum(axis=1) <= max_wide]
         if near.size:
             got = open_[near].tolist()
-            links += [(min(one, b), max(one, b)) for b in got]
+            links += [(one, b) for b in got]
             queue += got
             open_ = np.delete(open_, near)
     return links
 
 
-def links(fps: DataFrame, list_size: int = LIST_SIZE) -> DataFrame:
-    """a, b: links of distinct fingerprints ``fp`` that connect whatever the pairs of at most 3 differing bits connect."""
+def links(nodes: DataFrame, list_size: int = LIST_SIZE, max_wide: int | None = None) -> DataFrame:
+    """a, b: links of ``nodes`` (node, fps: an array of fingerprints) that connect whatever is connected by pairs with at
+    most 3 differing bits in some fingerprint of the array. With ``max_wide``, nodes have ``wide`` too, an array of longs, and
+    pairs must differ there in at most so many bits."""
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(_mask(p))).alias("value")) for k, p in enumerate(KINDS)])
-    posted = fps.select("fp", F.explode(kinds).alias("list")).select("list.kind", "list.value", "fp")
-    sizes = posted.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    posted = posted.join(sizes, ["kind", "value"])
+    posted = nodes.select("node", F.posexplode("fps").alias("nth", "fp")).select("node", "nth", "fp", F.explode(kinds).alias("list"))
+    posted = posted.select("nth", "list.kind", "list.value", "fp", "node")
+    sizes = posted.groupBy("nth", "kind", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    posted = posted.join(sizes, ["nth", "kind", "value"])
+    member = ["fp", "node"]
+    if max_wide is not None:
+        posted = posted.join(nodes.select(F.col("node").alias("of"), "wide"), F.col("node") == F.col("of")).drop("of")
+        member.append("wide")
     masks = F.element_at(F.array(*[F.array(*[F.lit(_mask(p)) for p in pairs]) for pairs in SPLITS]), F.col("kind") + 1)
     parts = F.when(F.col("n") > list_size, F.transform(masks, lambda m: F.struct(m.alias("mask"), F.col("fp").bitwiseAND(m).alias("part")))).otherwise(
         F.array(F.struct(F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("part")))
     )
-    lists = posted.select("kind", "value", "fp", F.explode(parts).alias("p")).groupBy("kind", "value", "p.mask", "p.part").agg(F.collect_list("fp").alias("fps"))
+    lists = posted.select("nth", "kind", "value", F.struct(*member).alias("member"), F.explode(parts).alias("p"))
+    lists = lists.groupBy("nth", "kind", "value", "p.mask", "p.part").agg(F.collect_list("member").alias("members"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("fps")
-            flat, at = column.values.to_numpy(), column.offsets.to_numpy()
-            found = [x for lo, hi in zip(at[:-1], at[1:]) for x in list_links(flat[lo:hi])]
+            column = batch.column("members")
+            at, members = column.offsets.to_numpy(), column.values
+            fps, ids, wide = members.field("fp").to_numpy(), members.field("node").to_numpy(), None
+            if max_wide is not None:
+                wide = members.field("wide").values.to_numpy().reshape(len(ids), -1)
+            found = [(lo + a, lo + b) for lo, hi in zip(at[:-1], at[1:]) for a, b in list_links(fps[lo:hi], MAX_BITS, None if wide is None else wide[lo:hi], max_wide or 0)]
             if found:
-                yield from batches_of(schema, [[a for a, _ in found], [b for _, b in found]])
+                pairs = np.sort(ids[np.array(found)], axis=1)
+                yield from batches_of(schema, [pa.array(pairs[:, 0]), pa.array(pairs[:, 1])])
 
-    return lists.filter(F.size("fps") > 1).select("fps").mapInArrow(tally, "a long, b long").distinct()
+    return lists.filter(F.size("members") > 1).select("members").mapInArrow(tally, "a long, b long").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -148,7 +224,7 @@ def simhash_components(docs: DataFrame, width: int = 3, list_size: int = LIST_SI
     is a member, yet names a component only if all its members are null. An empty table gives an empty table."""
     own = materialize(fingerprints(docs, width), "fingerprints")
     fps = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    parts = materialize(connected_components(links(fps.select("fp"), list_size)), "components")
+    parts = materialize(connected_components(links(fps.select(F.col("fp").alias("node"), F.array("fp").alias("fps")), list_size)), "components")
     named = fps.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     table = named.join(names, "component").select(F.col("fp").alias("of"), "component_id")
