@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import reduce
 from operator import and_
@@ -88,6 +89,19 @@ def read_file(uri: str) -> bytes:
         return f.read()
 
 
+_KEPT: OrderedDict = OrderedDict()
+
+
+def per_worker(key, make):
+    """What ``make`` returns, kept in this Python worker for later tasks with the same key: tokenizers, caches of words."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+        while len(_KEPT) > 2:
+            _KEPT.popitem(last=False)
+    _KEPT.move_to_end(key)
+    return _KEPT[key]
+
+
 def words(text: bytes | None) -> list[bytes]:
     """``[^\\x20\\x09-\\x0D]+`` over UTF-8; bytes.split() separates at just these six characters."""
     return text.split() if text else []

@@ -129,9 +129,10 @@ class Index:
                 last = ids[min(len(ids), (b + 1) * POSTINGS) - 1]
                 until = last if until is None else min(until, last)
             if block >= least:
-                if lists[0][0][0][lists[0][1]] == item:
-                    out.append((item, sum(x[0][1][x[1]] for x in lists[: pivot + 1])))
-                to = item + (lists[0][0][0][lists[0][1]] == item)
+                here = lists[0][0][0][lists[0][1]] == item  # then all lists up to the pivot stand there
+                if here and (score := sum(x[0][1][x[1]] for x in lists[: pivot + 1])) >= least:
+                    out.append((item, score))
+                to = item + here
             else:
                 to = max(item, until) + 1
                 if pivot + 1 < len(lists):

@@ -25,7 +25,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, batches_of, materialize, words
+from tidemark.llm.common import as_bytes, batches_of, materialize, per_worker, words
 
 MIN_WORDS = 20
 #: Words of an anchor, about a third of a window.
@@ -145,7 +145,7 @@ def _segments(rows: DataFrame, least: int) -> DataFrame:
     schema = pa.schema([("f", pa.int64()), ("s", pa.int64()), ("d", pa.int64()), ("h", pa.int32()), ("i", pa.int32()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        hashes = per_worker("word hashes", _Hashes)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)

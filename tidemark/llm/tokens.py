@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, read_file, running_total, work_dir, write_file
+from tidemark.llm.common import materialize, per_worker, read_file, running_total, work_dir, write_file
 
 MAGIC = b"TMWAVE1\n"
 #: Ids in a shard: a document is never cut, so one longer than this makes a longer shard.
@@ -235,7 +235,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, seq = per_worker(("encoder", tokenizer), lambda: Encoder(tokenizer)), TaskContext.get().partitionId(), 0
         held: list[bytes] = []
         ids: list[int | None] = []
         size = 0
