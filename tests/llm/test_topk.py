@@ -29,7 +29,12 @@ def test_bounds_stop_early_without_losing_any():
     rng = np.random.default_rng(2)
     x = rng.normal(0, 30, (3000, 16)).round().astype(np.int64)
     x[:, 0] += (np.arange(3000) < 40) * 3000
-    lists = topk.SortedLists(np.arange(3000), x)
-    for q in x[:60:7]:
-        want = sorted(((-int(x[i] @ q), i) for i in range(3000) if i != 5))[:5]
-        assert [(-s, i) for s, i in lists.top(q, 5, 5)] == want
+    lists, q, own = topk.SortedLists(np.arange(3000), x), x[:60:7], np.arange(0, 60, 7)
+    exact = x.astype(float) @ q.T.astype(float)
+    for share in topk.DEPTHS:
+        assert (lists.upper(int(3000 * share), q.astype(float)) >= exact - 1e-6).all() and (lists.lower(int(3000 * share), q.astype(float)) <= exact + 1e-6).all()
+    best = topk.Best(len(q), 5)
+    best.add(*lists.top(q, 5, own, best.least))
+    for k in range(len(q)):
+        want = sorted(((-int(exact[i, k]), i) for i in range(3000) if i != own[k]))[:5]
+        assert [(-int(s), int(i)) for j, s, i in zip(best.query, best.score, best.id) if j == k] == want

@@ -25,11 +25,16 @@ QUERY_BLOCK, CANDIDATE_BLOCK = 32_768, 4096
 #: Values are whole numbers up to this, so that sums of products are exact in 64 bits.
 LARGEST = 1 << 24
 #: Depths, as shares of a list's length, at which bounds are compared.
-DEPTHS = (0.04, 0.1, 0.2, 0.35, 0.5, 0.7, 0.85, 1.0)
+DEPTHS = (0.35, 0.5, 0.65, 0.8)
+#: Queries that read the lists in step.
+QUERIES_AT_ONCE = 512
 
 
 class SortedLists:
-    """A block of candidates with one sorted list for each component."""
+    """A block of candidates with one sorted list for each component.
+
+    Many queries read the lists in step: at a depth, a list's entries beyond it are seen from the top for positive weights and
+    from the bottom for negative ones, so the bounds of all candidates for all queries are products of two matrices."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
         self.ids, self.x = ids, x.astype(np.float64)
@@ -38,31 +43,63 @@ class SortedLists:
         np.put_along_axis(self.rank, order, np.broadcast_to(np.arange(len(ids), dtype=np.int32)[:, None], order.shape), axis=0)
         self.sorted = np.take_along_axis(self.x, order, axis=0)
 
-    def top(self, q: np.ndarray, k: int, own: int, least: float = -np.inf) -> list[tuple[float, int]]:
-        """The k best (score, id) that reach ``least``, without the query's own id: higher scores first, then smaller ids."""
+    def _sums(self, depth: int, up: np.ndarray, down: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """What is seen at a depth counts; the rest counts ``up`` for positive weights and ``down`` for negative ones."""
         n = len(self.ids)
-        q = q.astype(np.float64)
-        up = q >= 0
-        values = np.where(up, self.sorted[::-1], self.sorted) * q  # each list from its good end
-        worst, alive = values[-1], np.flatnonzero(self.ids != own)
-        for share in DEPTHS:
+        seen = np.concatenate((np.where(self.rank >= n - depth, self.x - up, 0.0), np.where(self.rank < depth, self.x - down, 0.0)), axis=1)
+        both = np.concatenate((np.maximum(q, 0.0), np.minimum(q, 0.0)), axis=1)
+        return seen @ both.T + both @ np.concatenate((up, down))
+
+    def upper(self, depth: int, q: np.ndarray) -> np.ndarray:
+        return self._sums(depth, self.sorted[len(self.ids) - depth], self.sorted[depth - 1], q)
+
+    def lower(self, depth: int, q: np.ndarray) -> np.ndarray:
+        return self._sums(depth, self.sorted[0], self.sorted[-1], q)
+
+    def top(self, queries: np.ndarray, k: int, own: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """query (its row), score and id of the k best of each query that reach its ``least``, without the ids in ``own``:
+        higher scores first, then smaller ids."""
+        n, q = len(self.ids), queries.astype(np.float64)
+        left, pairs = np.arange(len(q)), []
+        foreign = self.ids[:, None] != own[None, :]
+        for share in (*DEPTHS, 1.0):
             depth = max(1, int(n * share))
-            if depth >= n or not alive.size:
-                break
-            rank = self.rank[alive]
-            seen = np.where(up, n - 1 - rank, rank) < depth
-            got = np.where(seen, self.x[alive] * q, 0.0).sum(axis=1)
-            lower = got + np.where(seen, 0.0, worst).sum(axis=1)
-            upper = got + np.where(seen, 0.0, values[depth - 1]).sum(axis=1)
-            floor = least
-            if alive.size >= k:
-                floor = max(floor, float(np.partition(lower, alive.size - k)[alive.size - k]))
-            alive = alive[upper >= floor]
-            if alive.size <= 4 * k:
+            floor = least[left]
+            if n > k and not np.isfinite(floor).all():
+                bound = np.where(foreign[:, left], self.lower(depth, q[left]), -np.inf)
+                floor = np.maximum(floor, np.partition(bound, n - k, axis=0)[n - k])
+            alive = (self.upper(depth, q[left]) >= floor) & foreign[:, left]
+            done = (alive.sum(axis=0) <= max(4 * k, n // 50)) | (depth == n)
+            c, j = np.nonzero(alive[:, done])
+            pairs.append((left[done][j], c))
+            left = left[~done]
+            if not left.size:
                 break
-        scores = self.x[alive] @ q
-        order = np.lexsort((self.ids[alive], -scores))[:k]
-        return [(float(scores[i]), int(self.ids[alive[i]])) for i in order if scores[i] >= least]
+        j, c = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+        scores = np.concatenate([np.einsum("ij,ij->i", q[j[i : i + 50_000]], self.x[c[i : i + 50_000]]) for i in range(0, j.size, 50_000)] or [np.zeros(0)])
+        order = np.lexsort((self.ids[c], -scores, j))
+        j, c, scores = j[order], c[order], scores[order]
+        nth = np.arange(j.size) - np.searchsorted(j, j)
+        keep = (nth < k) & (scores >= least[j])
+        return j[keep], scores[keep], self.ids[c[keep]]
+
+
+class Best:
+    """The k best so far of each query, as arrays of rows."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.least = k, np.full(n, -np.inf)
+        self.query, self.score, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def add(self, query: np.ndarray, score: np.ndarray, id_: np.ndarray) -> None:
+        query, score, id_ = np.concatenate((self.query, query)), np.concatenate((self.score, score)), np.concatenate((self.id, id_))
+        order = np.lexsort((id_, -score, query))
+        query, score, id_ = query[order], score[order], id_[order]
+        nth = np.arange(query.size) - np.searchsorted(query, query)
+        keep = nth < self.k
+        self.query, self.score, self.id = query[keep], score[keep], id_[keep]
+        full = nth[keep] == self.k - 1
+        self.least[self.query[full]] = self.score[full]
 
 
 def _numbers(vectors: DataFrame) -> DataFrame:
@@ -103,26 +140,26 @@ def _search(rows: DataFrame, queries: list[tuple[int, np.ndarray]], k: int, sche
     out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple[float, int]]] = [[] for _ in shared.value]
+        asked = shared.value
+        own, sizes = np.array([v for v, _ in asked], np.int64), np.array([len(q) for _, q in asked], np.int64)
+        best = Best(len(asked), k)
         for batch in batches:
             for at in range(0, batch.num_rows, CANDIDATE_BLOCK):
                 piece = batch.slice(at, CANDIDATE_BLOCK)
                 ids, column = piece.column("vec_id").to_numpy(), piece.column("x")
-                sizes = np.diff(column.offsets.to_numpy())
+                lengths = np.diff(column.offsets.to_numpy())
                 flat = column.values.to_numpy()[column.offsets[0].as_py() :]
-                starts = np.concatenate(([0], np.cumsum(sizes)))
-                for size in np.unique(sizes):
-                    own = np.flatnonzero(sizes == size)
-                    x = flat[(starts[own][:, None] + np.arange(size)[None, :]).ravel()].reshape(own.size, size)
-                    lists = SortedLists(ids[own], x) if size else None
-                    for i, (query, q) in enumerate(shared.value):
-                        if q.size == size:
-                            least = best[i][-1][0] if len(best[i]) == k else -np.inf
-                            new = lists.top(q, k, query, least) if size else [(0.0, v) for v in sorted(ids[own].tolist()) if v != query][:k]
-                            if new:
-                                best[i] = sorted(best[i] + new, key=lambda r: (-r[0], r[1]))[:k]
-        found = [(shared.value[i][0], v, int(s)) for i, b in enumerate(best) for s, v in b]
-        if found:
-            yield from batches_of(out, [list(c) for c in zip(*found)])
+                starts = np.concatenate(([0], np.cumsum(lengths)))
+                for size in np.unique(lengths):
+                    rows_ = np.flatnonzero(lengths == size)
+                    same = np.flatnonzero(sizes == size)
+                    x = flat[(starts[rows_][:, None] + np.arange(size)[None, :]).ravel()].reshape(rows_.size, size)
+                    lists = SortedLists(ids[rows_], x)
+                    for i in range(0, same.size, QUERIES_AT_ONCE):
+                        part = same[i : i + QUERIES_AT_ONCE]
+                        j, score, found = lists.top(np.stack([asked[p][1] for p in part]), k, own[part], best.least[part])
+                        best.add(part[j], score, found)
+        if best.query.size:
+            yield from batches_of(out, [pa.array(own[best.query]), pa.array(best.id), pa.array(best.score.astype(np.int64))])
 
     return rows.mapInArrow(run, schema)
