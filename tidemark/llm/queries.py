@@ -121,5 +121,24 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, [x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents),
+wins AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+ranked AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS nth FROM wins),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM ranked WHERE nth > 1),
+all_words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+marked AS (
+  SELECT a.doc_id, a.word, a.p, g.p IS NOT NULL AS gone FROM all_words a LEFT JOIN gone g ON g.doc_id = a.doc_id AND g.p = a.p)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, count(m.p) FILTER (m.gone) AS n_removed,
+       sha256(coalesce(string_agg(m.word, ' ' ORDER BY m.p) FILTER (NOT m.gone), '')) AS kept_sha256
+FROM d LEFT JOIN marked m ON m.doc_id = d.doc_id GROUP BY d.doc_id, d.w
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op7_top_k": OP7_SQL, "op8_warc": OP8_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op7_top_k": OP7_SQL, "op8_warc": OP8_SQL, "op10_substring_dedup": OP10_SQL}
