@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,9 +30,13 @@ SHARD_TOKENS = 1_000_000
 #: Bits of a plane for each entry of its rank directory.
 RANK_STEP = 512
 #: Distinct chunks of text whose ids a task remembers.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 800_000
 #: How byte-level vocabularies write a space.
 SPACE_SIGN = "Ġ"
+#: White space other than space and line feed: a text with some is encoded whole.
+OTHER_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+#: Text that is cut in chunks at once.
+SLICE_BYTES = 6 << 20
 
 
 class WaveletMatrix:
@@ -172,59 +177,112 @@ class ShardFile:
 class Encoder:
     """Ids of texts by a byte-level BPE of the tokenizers library, equal to encoding each whole text.
 
-    This vocabulary's pre-tokens never hold a space after another character, so a text can be cut before each single space;
-    each distinct chunk is then encoded once, many in one string: their ids part at the tokens that start with a space.
-    Texts where that is not certain (a space next to other white space or at the end, or a special token's string) are
+    This vocabulary's pre-tokens never hold white space after another character, nor a stop or comma after a letter. So a text
+    can be cut before each single space and around each single line feed, and a chunk before its last stop or comma. Each
+    distinct chunk is encoded once, many in one string: their ids part at the tokens that start with a space, or at line
+    feeds. Texts where that is not certain (white space next to white space or at the end, a special token's string) are
     encoded whole."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([r" (?=\s|$)", *special]))
+        self.tokenizer = Tokenizer.from_file(path)
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join(["  ", " \n", "\n ", "\n\n", r"[ \n]\z", f"[{OTHER_SPACE}]", *map(re.escape, special)])
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.spaced[k] = token.startswith(SPACE_SIGN)
+        self.fixed = {c: self._ids([c])[0].tobytes() for c in "\n.,"}
+        self.feed = np.frombuffer(self.fixed["\n"], "<u4")
+        # Chunks met lately and those met before; what is met again moves up, the rest goes with its generation.
+        self.known, self.older = {"\n": self.fixed["\n"], "": b""}, {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks: those with a space in front as one string, the others one by one."""
-        spaced = [c for c in chunks if c[0] == " "]
-        for i in range(0, len(spaced), 2000):
-            part = spaced[i : i + 2000]
+        """Encode new chunks: those with a space in front as one string, the others as lines."""
+        known, fixed = self.known, self.fixed
+        ended = [c for c in chunks if c[-1] in ".," and c[-2:-1].isalpha()]
+        if ended:
+            plain = {c for c in chunks if c[-1] not in ".," or not c[-2:-1].isalpha()}
+            plain.update(c for c in [c[:-1] for c in ended] if c not in known)
+        else:
+            plain = set(chunks)
+        spaced, bare = [c for c in plain if c[0] == " "], [c for c in plain if c[0] != " "]
+        for part in (spaced[i : i + 2000] for i in range(0, len(spaced), 2000)):
             (ids,) = self._ids(["".join(part)])
-            at = np.flatnonzero(self.spaced[ids])
-            if at.size == len(part):
-                data, cut = ids.tobytes(), [*(4 * at).tolist(), 4 * ids.size]
-                self.known.update(zip(part, [data[x:y] for x, y in zip(cut, cut[1:])]))
-            else:
-                self.known.update(zip(part, [x.tobytes() for x in self._ids(part)]))
-        rest = [c for c in chunks if c[0] != " "]
-        self.known.update(zip(rest, [x.tobytes() for x in self._ids(rest)]))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-        cut: list[list[str] | None] = []
-        for t in texts:
-            if self.odd.search(t):
-                cut.append(None)
-            elif not t:
-                cut.append([])
-            else:
-                chunks = t.replace(" ", "\0 ").split("\0") if "\0" not in t else None
-                cut.append(chunks if chunks is None or chunks[0] else chunks[1:])
+            self._part(part, ids, np.flatnonzero(self.spaced[ids]), 0)
+        for part in (bare[i : i + 2000] for i in range(0, len(bare), 2000)):
+            (ids,) = self._ids(["\n" + "\n".join(part)])
+            self._part(part, ids, np.flatnonzero(ids == self.feed[0]) if self.feed.size == 1 else np.zeros(0, int), 1)
+        for c in ended:
+            known[c] = known[c[:-1]] + fixed[c[-1]]
+
+    def _part(self, chunks: list[str], ids: np.ndarray, at: np.ndarray, skip: int) -> None:
+        """Cut the ids of chunks in one string at their starts; encode one by one if the starts are not one for each."""
+        if at.size == len(chunks):
+            data, cut = ids.tobytes(), [*(4 * at).tolist(), 4 * ids.size]
+            self.known.update(zip(chunks, [data[x + 4 * skip : y] for x, y in zip(cut, cut[1:])]))
+        else:
+            self.known.update(zip(chunks, [x.tobytes() for x in self._ids(chunks)]))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of each text of a string array without nulls.
+
+        Arrow splits and numbers the chunks; each distinct one is looked up once, and the ids are laid out by numpy."""
+        if len(self.known) > CACHE_CHUNKS // 2:
+            self.known, self.older = {"\n": self.fixed["\n"], "": b""}, self.known
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        whole = iter([self._ids([t])[0].tobytes() for t in texts.filter(pa.array(odd)).to_pylist()])
+        cut = iter(self._chunked(texts.filter(pa.array(~odd))))
+        return [next(whole) if o else next(cut) for o in odd.tolist()]
+
+    def _chunked(self, texts: pa.Array) -> list[bytes]:
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+        if not ends.size:
+            return []
+        numbered = pc.list_flatten(lists).dictionary_encode()
+        index, chunks = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # A chunk stands alone at the start of a text and around a line feed; else it has its space in front.
+        feed = index == (chunks.index("\n") if "\n" in chunks else -1)
+        alone = feed.copy()
+        alone[1:] |= feed[:-1]
+        alone[0] = True
+        alone[ends[:-1]] = True
+        code = 2 * index + ~alone
+        used = np.flatnonzero(np.bincount(code, minlength=2 * len(chunks)))
+        keys = [" " + chunks[u >> 1] if u & 1 else chunks[u >> 1] for u in used.tolist()]
         known = self.known
-        new = [x for x in {x for c in cut if c for x in c} if x not in known]
-        if new:
-            self._learn(new)
-        whole = iter([self._ids([t])[0].tobytes() for t, c in zip(texts, cut) if c is None])
-        return [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
+        parts = list(map(known.get, keys))
+        fresh = [i for i, p in enumerate(parts) if p is None]
+        if fresh:
+            names = [keys[i] for i in fresh]
+            again = {k: p for k, p in zip(names, map(self.older.get, names)) if p is not None}
+            known.update(again)
+            self._learn([k for k in names if k not in again])
+            for i, k in zip(fresh, names):
+                parts[i] = known[k]
+        lengths = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
+        blob, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(lengths, dtype=np.int32) - lengths
+        slot = np.zeros(2 * len(chunks), np.int32)
+        slot[used] = np.arange(used.size, dtype=np.int32)
+        at = slot[code]
+        n = lengths[at]
+        upto = np.cumsum(n, dtype=np.int32)  # a slice has far fewer than 2^31 ids
+        ids = blob[np.repeat(starts[at] - (upto - n), n) + np.arange(upto[-1], dtype=np.int32)].tobytes()
+        stops = (4 * upto[ends - 1].astype(np.int64)).tolist()
+        return [ids[x:y] for x, y in zip([0, *stops], stops)]
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``SLICE_BYTES`` of text."""
+    size = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(edges, edges[1:]):
+        yield batch.slice(lo, hi - lo)
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -246,9 +304,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([size // 4], pa.int64())], schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for doc_id, data in zip(piece.column("doc_id").to_pylist(), encoder.encode(piece.column("text").to_pylist())):
+            for piece in _pieces(batch):
+                for doc_id, data in zip(piece.column("doc_id").to_pylist(), encoder.encode(piece.column("text"))):
                     if ids and size // 4 + len(data) // 4 + 1 > shard_tokens:
                         yield flush()
                         held, ids, size, seq = [], [], 0, seq + 1
