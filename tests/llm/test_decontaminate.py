@@ -24,10 +24,10 @@ def brute(docs, items):
                 for c in range(-(-len(dw) // cell)):
                     passage = dw[c * cell : (c + 2) * cell]
                     score = sum(raw[t] for t in set(passage) if t in raw) / own
-                    have = d.shingles(passage)
-                    q, a = (len(p & have) / len(p) if p else 1.0 for p in map(d.shingles, d.split_item(w)))
-                    if score >= d.RETRIEVE and q >= d.OVERLAP and a >= d.OVERLAP and (best is None or (score, q, a) > best):
-                        best = (score, q, a)
+                    q, a = d.split_item(w)
+                    shares = (len(d.shingles(w) & d.shingles(passage)) / len(d.shingles(w)), len(set(q) & set(passage)) / len(set(q)), len(set(a) & set(passage)) / len(set(a)))
+                    if score >= d.RETRIEVE and min(shares) >= d.OVERLAP and (best is None or (score, *shares) > best):
+                        best = (score, *shares)
                 if best:
                     out.append((doc, i, *(round(x, 6) for x in best)))
     return sorted(out, key=repr)

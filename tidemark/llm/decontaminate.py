@@ -6,7 +6,8 @@ Impacts are BM25 weights over the item's own score, so an item scores 0 to 1 and
 A document is cut in passages of two cells, a cell being as long as the longest item of the class, so every run of an item's
 length lies in one. Before a passage is a query, a bound is taken for it: the impacts of each item's rarer words that occur in
 it, plus the item's common words in any case. Passages with no item up to the threshold end there, as WAND would end without
-a pivot; the others go through WAND with block maxima. What is found is verified by word shingles of question and answer.
+a pivot; the others go through WAND with block maxima. What is found is verified: the item's five-word shingles must occur in the
+passage, and the words of its question and of its answer, each to ``OVERLAP``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import batches_of, materialize
+from tidemark.llm.common import batches_of, materialize, pieces
 
 #: Items in an index: bounds what is broadcast.
 BLOCK_ITEMS = 20_000
@@ -58,7 +59,7 @@ class Index:
     def __init__(self, items: list[tuple[int | None, list[str]]], df: dict[str, int], n_items: int, mean_words: float, retrieve: float = RETRIEVE) -> None:
         self.ids, self.words, self.retrieve = [i for i, _ in items], [w for _, w in items], retrieve
         self.cell = max((len(w) for w in self.words), default=1)
-        self.parts = [(shingles(q), shingles(a)) for q, a in map(split_item, self.words)]
+        self.parts = [(shingles(w), *map(set, split_item(w))) for w in self.words]
         postings: dict[str, list[tuple[int, float]]] = {}
         rare: dict[str, list[tuple[int, float]]] = {}
         self.common = np.zeros(len(items), np.float64)
@@ -145,33 +146,33 @@ class Index:
             lists = [x for x in lists if x[1] < len(x[0][0])]
         return out
 
-    def match(self, text: str | None, overlap: float = OVERLAP) -> list[tuple[int | None, float, float, float]]:
-        """item_id, score, question and answer overlap of the items found in a document: each item's best passage."""
+    def match(self, text: str | None, overlap: float = OVERLAP) -> list[tuple[int | None, float, float, float, float]]:
+        """item_id, score, overlap of shingles, of question and of answer words, of each item found, in its best passage."""
         words = words_of(text)
         if not words or not self.ids:
             return []
-        best: dict[int, tuple[float, float, float]] = {}
+        best: dict[int, tuple[float, float, float, float]] = {}
         for c in self.bounded(words):
             passage = words[c * self.cell : (c + 2) * self.cell]
             found = self.search(list(dict.fromkeys(passage)))
             if not found:
                 continue
-            have = shingles(passage)
+            have = (shingles(passage), set(passage), set(passage))
             for k, score in found:
-                q, a = ((len(p & have) / len(p)) if p else 1.0 for p in self.parts[k])
-                if q >= overlap and a >= overlap and (score, q, a) > best.get(k, (0.0, 0.0, 0.0)):
-                    best[k] = (score, q, a)
+                shares = tuple(len(p & h) / len(p) for p, h in zip(self.parts[k], have))
+                if min(shares) >= overlap and (score, *shares) > best.get(k, (0.0,) * 4):
+                    best[k] = (score, *shares)
         return [(self.ids[k], *v) for k, v in sorted(best.items())]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIEVE, overlap: float = OVERLAP, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """doc_id, item_id, bm25 (share of the item's own score), question_overlap, answer_overlap: one row for each row of
-    ``docs`` (doc_id, text) and item of ``benchmark`` (item_id, text) that it holds.
+    """doc_id, item_id, bm25 (share of the item's own score), overlap (of five-word shingles), question_overlap and
+    answer_overlap (of words): a row for each row of ``docs`` (doc_id, text) and item of ``benchmark`` (item_id, text) that it holds.
 
     Words are runs of word characters, lower-cased. Items of fewer than eight words, and null or empty texts on either side,
     match nothing. Equal items are found each; rows that repeat a doc_id give rows each; null ids are kept; other columns are
     left. Word counts are those of all items, not of a block. Empty tables give an empty table."""
-    schema = "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double"
+    schema = "doc_id long, item_id long, bm25 double, overlap double, question_overlap double, answer_overlap double"
     split = F.udf(lambda t: words_of(t), T.ArrayType(T.StringType()))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), split(F.col("text").cast("string")).alias("words")).filter(F.size("words") >= MIN_WORDS)
     items = items.withColumn("class", F.ceil(F.log2(F.size("words") / 64.0))).withColumn("class", F.greatest("class", F.lit(0)))
@@ -192,10 +193,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIEVE
 
 def _leaks(rows: DataFrame, index: Index, overlap: float, schema: str) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(index)
-    out = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("bm25", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
+    out = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("bm25", pa.float64()), ("overlap", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [(d, *m) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for m in shared.value.match(t, overlap)]
             if found:
                 yield from batches_of(out, [list(c) for c in zip(*found)])

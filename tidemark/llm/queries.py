@@ -65,7 +65,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", F.round("bm25", 6).alias("bm25"), F.round("question_overlap", 6).alias("question_overlap"), F.round("answer_overlap", 6).alias("answer_overlap"))
+    return found.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("bm25", "overlap", "question_overlap", "answer_overlap")])
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
