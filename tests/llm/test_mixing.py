@@ -34,7 +34,7 @@ def corpus(seed, n=300):
 def test_plan(spark, seed):
     rows = corpus(seed)
     docs = spark.createDataFrame([(*r, "e") for r in rows], "doc_id long, source string, text string, target string").repartition(3)
-    got = mixing.plan_mix(docs, block_docs=4).collect()
+    got = mixing.plan_mix(docs, levels=4, block_docs=4).collect()
     assert len(got) == len(rows)
     sizes = {}
     for _, s, t in rows:
@@ -51,7 +51,7 @@ def test_plan(spark, seed):
     assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
     assert all(len(s) == 1 for s in blocks.values())
     assert max(shards) < 16
-    again = mixing.plan_mix(docs.repartition(5), block_docs=4).collect()
+    again = mixing.plan_mix(docs.repartition(5), levels=4, block_docs=4).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, got))
 
 
@@ -85,3 +85,7 @@ def test_quotas_are_exact_and_hypergeometric(spark):
         assert mean == pytest.approx(drawn * p, abs=0.02 + var**0.5 / 30)
         assert sum((v - mean) ** 2 for v in x) / len(x) == pytest.approx(var, rel=0.05, abs=0.01)
         assert max(0, drawn + good - total) <= min(x) and max(x) <= min(good, drawn)
+
+
+def test_shards_follow_the_size():
+    assert [mixing.shard_levels(n) for n in (0, 10**6, 10**9, 10**13)] == [2, 2, 7, 21]

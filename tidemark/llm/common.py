@@ -25,12 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or in tests, where it is unset, a new one."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
+    if where:
+        return where.rstrip("/")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(where)
-    return where.rstrip("/")
+        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -93,10 +92,11 @@ _KEPT: OrderedDict = OrderedDict()
 
 
 def per_worker(key, make):
-    """What ``make`` returns, kept in this Python worker for later tasks with the same key: tokenizers, caches of words."""
+    """What ``make`` returns, kept in this Python worker for later tasks with the same key: a tokenizer, a cache of words. The
+    last one is kept, so workers that serve one stage after another don't gather them."""
     if key not in _KEPT:
         _KEPT[key] = make()
-        while len(_KEPT) > 2:
+        while len(_KEPT) > 1:
             _KEPT.popitem(last=False)
     _KEPT.move_to_end(key)
     return _KEPT[key]
@@ -107,6 +107,13 @@ def words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).to_pylist()
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE_BYTES, as_bytes, batches_of, materialize, read_file, work_dir, write_file
+from tidemark.llm.common import SPACE_BYTES, as_bytes, batches_of, materialize, pieces, read_file, work_dir, write_file
 
 #: Frequent lines in a shard, at most about so many: 20 bytes of arrays each, so 10 MB a shard.
 SHARD_KEYS = 500_000
@@ -137,7 +137,7 @@ def frequent_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> D
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64())])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             ids, found, per = batch.column("doc_id"), [], []
             for text in as_bytes(batch, "text"):
                 own = set(_hashes((text or b"").split(b"\n"), min_chars)[1])

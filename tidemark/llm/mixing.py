@@ -12,6 +12,8 @@ Orders within a source are ranks in small hash buckets plus the buckets' running
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ WEIGHTS, SHARE = (5, 2, 1), 1.5
 #: A source gives at most so many times its words.
 MOST = 2
 BLOCK_DOCS = 16
-#: Output shards: two to this power.
-LEVELS = 4
+#: Words in an output shard, about: their number is a power of two that follows the size of the mix.
+SHARD_WORDS = 8_000_000
 #: Documents in a bucket of a source's order, about.
 BUCKET = 1024
 SEED = 17
@@ -136,7 +138,7 @@ def _draws(seed: int, level: int):
     return draw
 
 
-def split_quotas(quotas: DataFrame, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
+def split_quotas(quotas: DataFrame, levels: int, seed: int = SEED) -> DataFrame:
     """shard, quota (array in the order of the sources): the tree over the single row ``quota`` (array of longs)."""
     nodes = quotas.select(F.lit(0).cast("long").alias("shard"), F.col("quota"))
     for level in range(levels):
@@ -148,19 +150,28 @@ def split_quotas(quotas: DataFrame, levels: int = LEVELS, seed: int = SEED) -> D
         right = F.zip_with("quota", "left", lambda q, n: q - n)
         halves = F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("left").alias("quota")), F.struct((F.col("shard") * 2 + 1).alias("shard"), right.alias("quota")))
         nodes = nodes.select(F.explode(halves).alias("half")).select("half.shard", "half.quota")
+        if level % 8 == 7:  # the tree starts as one row; from here its branches are worked on apart
+            nodes = nodes.repartition("shard")
     return nodes
 
 
-def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, levels: int = LEVELS, block_docs: int = BLOCK_DOCS, seed: int = SEED) -> DataFrame:
+def shard_levels(words: int) -> int:
+    """Levels of the tree for a mix of so many words: four shards at least."""
+    return max(2, math.ceil(math.log2(max(1, words) / SHARD_WORDS)))
+
+
+def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, levels: int | None = None, block_docs: int = BLOCK_DOCS, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, h, taken and draws of each row of ``docs`` (doc_id, source, text).
 
     ``size`` counts the words of the whole text (null: 0); ``taken`` the words that the mix takes of it, repeats counted;
-    ``draws`` has a struct (epoch, words, shard, block) for each time. A source's taken words are its target's, rounded to
+    ``draws`` has a struct (epoch, words, shard, block) for each time. The shards are two to the power ``levels``, by default by size. A source's taken words are its target's, rounded to
     whole words and held to twice its size. Texts without words are in no draw. A null source is a source of its own, the last in order. Equal rows
     are documents each. Without words, or in an empty table, targets and draws are 0 and empty. Other columns are left."""
     rows = materialize(sized(docs, seed), "sizes")
     sources = targets(rows, weights, share).withColumn("quota_words", F.least(F.round("target").cast("long"), F.col("source_size") * MOST))
     sources = materialize(sources, "targets")
+    if levels is None:
+        levels = shard_levels(sources.agg(F.sum("quota_words")).first()[0] or 0)
 
     # The random order of each source: places and words before each document.
     own = sources.select(F.col("source").alias("of"), "k", "n_docs", "source_size", "target", "quota_words")
@@ -214,7 +225,7 @@ def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, le
     )
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, levels: int = LEVELS, block_docs: int = BLOCK_DOCS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, levels: int | None = None, block_docs: int = BLOCK_DOCS, seed: int = SEED) -> DataFrame:
     """The mix itself: the columns of ``docs`` with a row for each draw, dealt by shard and shuffled within.
 
     A draw that is not the whole document holds its first words, joined by single spaces. See ``plan_mix`` for the rest."""
@@ -229,4 +240,5 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, levels:
     words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("__draw.words").cast("int")), " ")
     rows = rows.withColumn("text", F.when(F.col("__draw.words") == F.col("__size"), F.col("text")).otherwise(words))
     order = F.xxhash64(F.lit(seed), "__draw.epoch", "__h")
-    return rows.repartition(1 << levels, "__draw.shard").sortWithinPartitions("__draw.shard", order).select(*docs.columns)
+    # Spark's own number of partitions; a shard is whole in one of them.
+    return rows.repartition("__draw.shard").sortWithinPartitions("__draw.shard", order).select(*docs.columns)

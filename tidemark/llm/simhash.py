@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, batches_of, materialize
+from tidemark.llm.common import as_bytes, batches_of, materialize, pieces
 
 #: Members of a posting list, above which it is split.
 LIST_SIZE = 4096
@@ -103,7 +103,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, lis
     schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("fps", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             made = [(i, s) for i, t in zip(batch.column("doc_id").to_pylist(), as_bytes(batch, "text")) if (s := sketches(t, width))]
             yield from batches_of(schema, [[i for i, _ in made], *[[s[c] for _, s in made] for c in range(3)]])
 
@@ -125,7 +125,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield from batches_of(schema, [batch.column("doc_id"), [fingerprint(t, width) for t in as_bytes(batch, "text")]])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")

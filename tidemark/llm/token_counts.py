@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, batches_of, per_worker, words
+from tidemark.llm.common import as_bytes, batches_of, per_worker, pieces, words
 
 #: The sign that stands for the space before a word in sentencepiece vocabularies.
 MARK = "▁"
@@ -84,13 +84,11 @@ def count_tokens(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores, known = per_worker(("unigram", model), lambda: (unigram_scores(model), {}))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                piece = batch.slice(at, 1024)
-                texts = [words(t) for t in as_bytes(piece, "text")]
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                known.update(count_words([w for w in {w for t in texts for w in t} if w not in known], scores))
-                yield from batches_of(schema, [piece.column("doc_id"), [len(t) for t in texts], [sum(map(known.__getitem__, t)) for t in texts]])
+        for piece in pieces(batches, 1024):
+            texts = [words(t) for t in as_bytes(piece, "text")]
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            known.update(count_words([w for w in {w for t in texts for w in t} if w not in known], scores))
+            yield from batches_of(schema, [piece.column("doc_id"), [len(t) for t in texts], [sum(map(known.__getitem__, t)) for t in texts]])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
