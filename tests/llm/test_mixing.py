@@ -88,4 +88,4 @@ def test_quotas_are_exact_and_hypergeometric(spark):
 
 
 def test_shards_follow_the_size():
-    assert [mixing.shard_levels(n) for n in (0, 10**6, 10**9, 10**13)] == [2, 2, 7, 21]
+    assert [mixing.shard_levels(n) for n in (0, 10**6, 10**9, 10**13)] == [2, 2, 9, 16]

@@ -24,8 +24,8 @@ WEIGHTS, SHARE = (5, 2, 1), 1.5
 #: A source gives at most so many times its words.
 MOST = 2
 BLOCK_DOCS = 16
-#: Words in an output shard, about: their number is a power of two that follows the size of the mix.
-SHARD_WORDS = 8_000_000
+#: Words in an output shard, about: their number is a power of two that follows the size of the mix, up to 2^16 shards.
+SHARD_WORDS, MOST_LEVELS = 2_000_000, 16
 #: Documents in a bucket of a source's order, about.
 BUCKET = 1024
 SEED = 17
@@ -157,7 +157,7 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int = SEED) -> DataFrame:
 
 def shard_levels(words: int) -> int:
     """Levels of the tree for a mix of so many words: four shards at least."""
-    return max(2, math.ceil(math.log2(max(1, words) / SHARD_WORDS)))
+    return min(MOST_LEVELS, max(2, math.ceil(math.log2(max(1, words) / SHARD_WORDS))))
 
 
 def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, levels: int | None = None, block_docs: int = BLOCK_DOCS, seed: int = SEED) -> DataFrame:
