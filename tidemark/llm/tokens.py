@@ -36,7 +36,7 @@ SPACE_SIGN = "Ġ"
 #: White space other than space and line feed: a text with some is encoded whole.
 OTHER_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 #: Text that is cut in chunks at once.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 
 class WaveletMatrix:
@@ -245,7 +245,7 @@ class Encoder:
         if not ends.size:
             return []
         numbered = pc.list_flatten(lists).dictionary_encode()
-        index, chunks = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        index, chunks = numbered.indices.to_numpy(), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         # A chunk stands alone at the start of a text and around a line feed; else it has its space in front.
         feed = index == (chunks.index("\n") if "\n" in chunks else -1)
         alone = feed.copy()
