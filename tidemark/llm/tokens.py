@@ -30,13 +30,13 @@ SHARD_TOKENS = 1_000_000
 #: Bits of a plane for each entry of its rank directory.
 RANK_STEP = 512
 #: Distinct chunks of text whose ids a task remembers.
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 400_000
 #: How byte-level vocabularies write a space.
 SPACE_SIGN = "Ġ"
 #: White space other than space and line feed: a text with some is encoded whole.
 OTHER_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 #: Text that is cut in chunks at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 class WaveletMatrix:
