@@ -100,3 +100,40 @@ def test_similar_groups(spark):
     want = {3: 3, 4: 3} | {100 + i * 10 + j: 100 + i * 10 + (j == 2) * 2 for i in range(60) for j in range(4)}
     assert got == want
     assert simhash.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def shingles_of(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def exact_groups(rows):
+    sets = {i: shingles_of(t) for i, t in rows}
+    group = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and group[i] != group[j]:
+                if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                    lo, hi = sorted((group[i], group[j]))
+                    group = {k: lo if g == hi else g for k, g in group.items()}
+    return group
+
+
+def tails(rng, n):
+    """Texts, each with three copies whose ends are cut, appended to or replaced, to 0.8 to 0.92 of exact similarity and a bit below."""
+    rows = []
+    for i in range(n):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(100, 600))]
+        new = [f"n{rng.randrange(5000)}" for _ in range(len(base))]
+        k = int(len(base) * rng.uniform(0.08, 0.21))
+        rows += [(10 * i, base), (10 * i + 1, base[:-k]), (10 * i + 2, base + new[:k]), (10 * i + 3, base[: -k // 2] + new[: k // 2])]
+    return [(i, " ".join(w)) for i, w in rows]
+
+
+def groups(spark, rows, **kw):
+    return {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **kw).collect()}
+
+
+def test_similar_groups_finds_changed_ends(spark):
+    rows = tails(random.Random(11), 60)
+    assert groups(spark, rows) == exact_groups(rows)

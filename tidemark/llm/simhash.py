@@ -41,8 +41,10 @@ KINDS = [tuple(p for p in group if p != left) for group in (range(4), range(4, 8
 SPLITS = [[pair for pair in combinations([p for p in range(8) if p not in kind], 2)] for kind in KINDS]
 
 
-#: Of ``similar_groups``: fingerprints of the distinct words, and 64-bit parts of the wide fingerprint of the shingles.
-TABLES, WIDE = 12, 8
+#: Of ``similar_groups``: 64-bit parts of the parity bits of the shingles, and pairs of a node that are verified in one part.
+WIDE, PAIRS = 16, 1000
+#: One text in so many is sampled for common shingles; these occur there so often at least, and are so many at most.
+SAMPLE, COMMON, MOST_COMMON = 8, 8, 200_000
 
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
@@ -63,56 +65,153 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little", signed=True)
 
 
-def _stretched(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """parts 64-bit numbers from each hash, as bytes."""
-    steps = np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    z = hashes[:, None] + steps[None, :]
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (z ^ (z >> np.uint64(31))).view(np.uint8)
-
-
-def _majority(hashes: np.ndarray, parts: int) -> list[int]:
-    counts = np.zeros(64 * parts, np.int64)
-    for at in range(0, hashes.size, 1024):
-        counts += np.unpackbits(_stretched(hashes[at : at + 1024], parts), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * counts > hashes.size, bitorder="little").view("<i8").tolist()
-
-
-def sketches(text: bytes | None, width: int) -> tuple[int, list[int], list[int]] | None:
-    """A hash of all words, ``TABLES`` fingerprints of the distinct words, the wide fingerprint of the shingles; None without words."""
+def shingle_set(text: bytes | None, width: int) -> tuple[int, np.ndarray] | None:
+    """A hash of all words and the sorted hashes of the distinct shingles of ``width`` words (A-Z lower-cased); None without words."""
     words = (text or b"").lower().split()
     if not words:
         return None
     digest, data = xxhash.xxh3_64_intdigest, b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - width + 1)
-    shingles = np.array([digest(data[i:j]) for i, j in zip((ends - sizes)[:n].tolist(), ends[-n:].tolist())], np.uint64)
-    distinct = np.array([digest(w) for w in set(words)], np.uint64)
-    return np.array(digest(data), np.uint64).view(np.int64).item(), _majority(distinct, TABLES), _majority(shingles, WIDE)
+    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
+    made = np.fromiter((digest(data[i:j]) for i, j in zip(starts, ends[-n:].tolist())), np.uint64, n)
+    return np.array(digest(data), np.uint64).view(np.int64).item(), np.unique(made.view(np.int64))
+
+
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles in an order that is the same for all texts, so many that two texts with ``similarity`` share one:
+    those not in ``common`` (sorted) by hash, then the others by rank."""
+    if common.size:
+        at = np.minimum(np.searchsorted(common, shingles), common.size - 1)
+        rank = np.where(common[at] == shingles, ranks[at], -1)
+        shingles = shingles[np.argsort(rank, kind="stable")]
+    return shingles[: shingles.size - math.ceil(similarity * shingles.size - 1e-9) + 1]
+
+
+def parity(shingles: np.ndarray) -> list[int]:
+    """A bit is 1 if an odd number of shingles falls on it: sets differ in at least as many shingles as their bits differ."""
+    bits = np.bincount(shingles.view(np.uint64) % np.uint64(64 * WIDE), minlength=64 * WIDE) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def _may_be(m: np.ndarray, p: np.ndarray, n: np.ndarray, q: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of m and n shingles with the parity bits p and q may have the similarity."""
+    most = m + n - 2 * np.ceil(similarity / (1 + similarity) * (m + n) - 1e-9)
+    differ = np.bitwise_count((p ^ q).view(np.uint64)).sum(axis=-1, dtype=np.int64)
+    return (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-9) & (differ <= most)
+
+
+def cross_pairs(component: np.ndarray, size: np.ndarray, bits: np.ndarray, side: np.ndarray | None, similarity: float) -> Iterator[tuple[int, int]]:
+    """Places of members of different components (and of different sides, if given) that size and parity bits do not rule out."""
+    order = np.lexsort((size, component))
+    for at, one in enumerate(order.tolist()):
+        rest = order[at + 1 :]
+        rest = rest[component[rest] != component[one]]
+        if side is not None:
+            rest = rest[side[rest] != side[one]]
+        rest = rest[np.minimum(size[rest], size[one]) >= similarity * np.maximum(size[rest], size[one]) - 1e-9]
+        yield from ((one, b) for b in rest[_may_be(size[rest], bits[rest], size[one], bits[one], similarity)].tolist())
+
+
+def _common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and ranks of the most common shingles in a sample. They only shape the order of ``prefix``, where any order is right."""
+    schema = pa.schema([("w", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            for t in as_bytes(batch, "text"):
+                if xxhash.xxh3_64_intdigest(t or b"") % SAMPLE == 0 and (s := shingle_set(t, width)):
+                    yield from batches_of(schema, [pa.array(s[1])])
+
+    counts = texts.mapInArrow(run, "w long").groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
+    found = counts.orderBy(F.desc("n"), "w").limit(MOST_COMMON).collect()
+    w = np.array([r.w for r in found], np.int64)
+    order = np.argsort(w)
+    return w[order], np.arange(w.size, 0, -1)[order]
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b: nodes) whose sets (node, shingles) have the similarity."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good, (x, y) = [], [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column("x"), batch.column("y"))]
+            for i in range(batch.num_rows):
+                p, q = x[1][x[0][i] : x[0][i + 1]], y[1][y[0][i] : y[0][i + 1]]
+                if min(p.size, q.size) < similarity * max(p.size, q.size) - 1e-9:
+                    continue
+                n = np.intersect1d(p, q, assume_unique=True).size
+                if n / (p.size + q.size - n) >= similarity:
+                    good.append(i)
+            yield from batches_of(schema, [batch.column(c).take(pa.array(good, pa.int64())) for c in ("a", "b")])
+
+    return _both(pairs, sets, F.col("shingles")).mapInArrow(run, "a long, b long")
+
+
+def _both(pairs: DataFrame, table: DataFrame, value) -> DataFrame:
+    """The pairs (a, b: nodes) with the value of a as x and of b as y. A node in very many pairs is dealt out in parts."""
+    for key, name in (("a", "x"), ("b", "y")):
+        parts = pairs.groupBy(F.col(key).alias("of")).agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("parts"))
+        own = table.join(parts, F.col("node") == F.col("of")).select("of", value.alias(name), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        many = parts.filter("parts > 1").select(F.col("of").alias("hot"), "parts")
+        other = F.col("b" if key == "a" else "a")
+        pairs = pairs.join(F.broadcast(many), F.col(key) == F.col("hot"), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")).cast("int"), F.lit(0))).drop("hot", "parts")
+        pairs = pairs.join(own.drop("parts").hint("merge"), (F.col(key) == F.col("of")) & (F.col("salt") == F.col("part"))).drop("of", "part", "salt")
+    return pairs
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that size and parity bits do not rule out."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (m, p), (n, q) = (tuple(batch.column(c).field(k) for k in (0, 1)) for c in ("x", "y"))
+            m, n, p, q = m.to_numpy(), n.to_numpy(), *(v.flatten().to_numpy().reshape(-1, WIDE) for v in (p, q))
+            good = np.flatnonzero(_may_be(m, p, n, q, similarity))
+            yield from batches_of(schema, [batch.column(c).take(pa.array(good)) for c in ("a", "b")])
+
+    return _both(pairs, nodes, F.struct("size", "bits")).mapInArrow(run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, list_size: int = LIST_SIZE) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reached over links) for each row that has words.
 
-    Rows are linked if they have the same words (A-Z lower-cased), or if some fingerprint of their distinct words differs in at
-    most 3 bits and the similarity of their ``width``-word shingles, taken from the wide fingerprint, is ``similarity`` or
-    more: the share of differing bits is the angle of two sets over pi, and sets of equal size with Jaccard similarity s have
-    cosine 2 s / (1 + s). A text without words is left out; null ids name a group only if all its ids are null."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("fps", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64()))])
+    Rows are linked if their sets of ``width``-word shingles (A-Z lower-cased, by 64-bit hashes) have a Jaccard similarity of
+    ``similarity`` or more. A text without words is left out; null ids name a group only if all its ids are null.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Candidates are complete: similar sets share a shingle of their prefixes, so they meet in its list. First each list's members
+    are compared with its smallest and its largest node, which ends lists of up to three and joins most of a large group. In what
+    is left only members of different components are compared, by bounds that rule out no similar pair, in blocks of at most
+    about ``list_size`` members: those of another component than the smallest node against all, for the rest is joined already."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    common, ranks = _common_shingles(texts, width)
+    shared = docs.sparkSession.sparkContext.broadcast((common, ranks))
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("bits", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            made = [(i, s) for i, t in zip(batch.column("doc_id").to_pylist(), as_bytes(batch, "text")) if (s := sketches(t, width))]
-            yield from batches_of(schema, [[i for i, _ in made], *[[s[c] for _, s in made] for c in range(3)]])
+            made = [(i, s) for i, t in zip(batch.column("doc_id").to_pylist(), as_bytes(batch, "text")) if (s := shingle_set(t, width))]
+            yield from batches_of(schema, [[i for i, _ in made], [s[0] for _, s in made], [s[1].size for _, s in made], [parity(s[1]) for _, s in made], [prefix(s[1], similarity, *shared.value) for _, s in made]])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, node long, fps array<long>, wide array<long>")
-    own = materialize(rows, "sketches")
-    nodes = own.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fps").alias("fps"), F.first("wide").alias("wide"))
+    own = materialize(texts.mapInArrow(sketch, "doc_id long, node long, size long, bits array<long>, prefix array<long>"), "sketches")
+    nodes = own.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes, "texts")
-    most = int(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    parts = materialize(connected_components(links(nodes.select("node", "fps", "wide"), list_size, most)), "components")
+
+    posted = nodes.select(F.explode("prefix").alias("w"), "node")
+    lists = posted.groupBy(F.col("w").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("n > 1")
+    posted = materialize(posted.join(lists, F.col("w") == F.col("v")).drop("v"), "lists")
+    stars = posted.select("node", F.explode(F.array("low", "high")).alias("to")).filter("node <> to")
+    stars = materialize(stars.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct(), "stars")
+    stars = materialize(_possible(stars, nodes, similarity), "possible-stars")
+    found = materialize(_linked(stars, texts, width, similarity), "star-links")
+    parts = materialize(connected_components(found), "star-components")
+    left = materialize(_left_over(posted.filter("n > 3"), nodes, parts, similarity, list_size), "left-over")
+    if not left.isEmpty():
+        more = materialize(_linked(left, texts, width, similarity), "links")
+        parts = materialize(connected_components(found.union(more)), "components")
+
     named = nodes.select(F.col("node").alias("text_node"), "first_id").join(parts, F.col("text_node") == F.col("node"), "left")
     named = named.select("text_node", "first_id", F.coalesce("component", "text_node").alias("component"))
     names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -120,6 +219,73 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, lis
     return own.select("doc_id", "node").join(table, F.col("node") == F.col("text_node")).select("doc_id", "component_id")
 
 
+def _linked(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are similar; only texts of their nodes are shingled."""
+    schema = pa.schema([("node", pa.int64()), ("text", pa.binary())])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            words = [b" ".join((t or b"").lower().split()) for t in as_bytes(batch, "text")]
+            words = [t for t in words if t]
+            yield from batches_of(schema, [pa.array(np.array([xxhash.xxh3_64_intdigest(t) for t in words], np.uint64).view(np.int64)), words])
+
+    sets_schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            yield from batches_of(sets_schema, [batch.column("node"), [shingle_set(t, width)[1] for t in as_bytes(batch, "text")]])
+
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct(), "wanted")
+    named = texts.select("text").mapInArrow(name, "node long, text binary").join(wanted, F.col("node") == F.col("of"), "left_semi")
+    sets = named.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(shingle, "node long, shingles array<long>")
+    return _verified(pairs, materialize(sets, "sets"), similarity)
+
+
+def blocks(posted: DataFrame, parts: DataFrame, list_size: int = LIST_SIZE) -> DataFrame:
+    """w, node, component, major, task: the members of lists (posted: w, node, low) that have several components (parts), dealt
+    out so that two members of different components meet in a task (w, task) of about ``list_size`` members.
+
+    Members of the smallest node's component, the major ones, are in one block each and meet the blocks of the others."""
+    parts = parts.select(F.col("node").alias("of"), "component")
+    member = posted.select("w", "node", "low").join(parts, F.col("node") == F.col("of"), "left").withColumn("component", F.coalesce("component", "node")).drop("of")
+    member = materialize(member, "list-members")
+    lows = member.filter("node = low").select(F.col("w").alias("v"), F.col("component").alias("main"))
+    counts = member.join(lows, F.col("w") == F.col("v")).groupBy("v", "main").agg(F.count_if(F.col("component") != F.col("main")).alias("minor"), F.count_if(F.col("component") == F.col("main")).alias("major"))
+    half = list_size / 2
+    counts = counts.filter("minor > 0").select("v", "main", F.ceil(F.col("minor") / half).cast("int").alias("l"), F.ceil(F.col("major") / half).cast("int").alias("k"))
+    member = member.join(counts, F.col("w") == F.col("v")).drop("v", "low").withColumn("major", F.col("component") == F.col("main"))
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("major"), F.col("k")).otherwise(F.col("l"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at = lambda i, kind, j: F.struct(i.alias("i"), F.lit(kind).alias("mixed"), j.alias("j"))
+    own = F.col("block")
+    tasks = F.when(F.col("major"), F.transform(upto("l"), lambda i: at(i, True, own))).otherwise(
+        F.concat(F.transform(upto("k"), lambda j: at(own, True, j)), F.transform(upto("l"), lambda j: at(F.least(own, j), False, F.greatest(own, j))))
+    )
+    return member.withColumn("block", block).select("w", "node", "component", "major", F.explode(tasks).alias("task"))
+
+
+def _left_over(posted: DataFrame, nodes: DataFrame, parts: DataFrame, similarity: float, list_size: int) -> DataFrame:
+    """a, b: pairs of nodes of one list (posted: w, node, low) but different components (parts) that may be similar."""
+    member = blocks(posted, parts, list_size)
+    member = member.join(nodes.select(F.col("node").alias("of"), "size", "bits"), F.col("node") == F.col("of"))
+    lists = member.groupBy("w", "task").agg(F.collect_list(F.struct("node", "component", "major", "size", "bits")).alias("members")).select("task.mixed", "members")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("members")
+            at, members = column.offsets.to_numpy(), column.values
+            ids, component, size = (members.field(c).to_numpy() for c in ("node", "component", "size"))
+            bits, side = members.field("bits").values.to_numpy().reshape(len(ids), -1), members.field("major").to_numpy(zero_copy_only=False)
+            for lo, hi, mixed in zip(at[:-1], at[1:], batch.column("mixed").to_pylist()):
+                found = list(cross_pairs(component[lo:hi], size[lo:hi], bits[lo:hi], side[lo:hi] if mixed else None, similarity))
+                if found:
+                    both = np.sort(ids[lo:hi][np.array(found)], axis=1)
+                    yield from batches_of(schema, [pa.array(both[:, 0]), pa.array(both[:, 1])])
+
+    return lists.mapInArrow(run, "a long, b long").distinct()
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fp (long) of each row."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
