@@ -137,3 +137,17 @@ def groups(spark, rows, **kw):
 def test_similar_groups_finds_changed_ends(spark):
     rows = tails(random.Random(11), 60)
     assert groups(spark, rows) == exact_groups(rows)
+
+
+def test_similar_groups_are_exact_at_the_threshold(spark):
+    """Pairs with scattered changes, of an exact similarity from 0.7 to 0.9: those up to 0.8 meet and the others do not."""
+    rng, rows = random.Random(12), []
+    for i in range(150):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(100, 500))]
+        copy = list(base)
+        for at in rng.sample(range(0, len(base), 5), int(len(base) * rng.uniform(0.011, 0.034))):
+            copy[at] = "n"
+        rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join(copy))]
+    want = exact_groups(rows)
+    assert 30 < sum(i != g for i, g in want.items()) < 120
+    assert groups(spark, rows) == want
