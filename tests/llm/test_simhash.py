@@ -151,3 +151,19 @@ def test_similar_groups_are_exact_at_the_threshold(spark):
     want = exact_groups(rows)
     assert 30 < sum(i != g for i, g in want.items()) < 120
     assert groups(spark, rows) == want
+
+
+def test_similar_groups_of_many_near_copies(spark):
+    """One large group whose members differ: no block of a list is much over its size, and components are those of brute force."""
+    rng, base = random.Random(13), [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        for at in rng.sample(range(0, 120, 5), rng.randint(0, 5)):
+            copy[at] = f"n{rng.randrange(3)}"
+        rows.append((i, " ".join(copy)))
+    assert groups(spark, rows, list_size=16) == exact_groups(rows)
+    posted = spark.createDataFrame([(1, i, 0) for i in range(400)], "w long, node long, low long")
+    parts = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(400)], "node long, component long")
+    blocks = simhash.blocks(posted, parts, 40).groupBy("w", "task").count().collect()
+    assert len(blocks) > 10 and max(r["count"] for r in blocks) <= 80
