@@ -59,6 +59,14 @@ def test_repeated_rows_and_empty_table(spark):
     assert s.dedup_substrings(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [1000, 1])
+def test_repeated_rows_beside_a_partial_overlap(spark, shard):
+    text = [f"t{i}" for i in range(60)]
+    rows = [(7, " ".join(text))] * 3 + [(8, " ".join([*(f"a{i}" for i in range(9)), *text[3:40], *(f"b{i}" for i in range(9))]))]
+    got = sorted(map(tuple, s.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), shard_segments=shard).collect()))
+    assert got == [(7, rows[0][1], 60, 0)] * 3 + [(8, " ".join([f"a{i}" for i in range(9)] + [f"b{i}" for i in range(9)]), 55, 37)]
+
+
 def test_automaton_statistics():
     rng = random.Random(5)
     a = s.SuffixAutomaton()

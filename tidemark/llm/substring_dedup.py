@@ -164,7 +164,7 @@ def _with_text(wanted: DataFrame, rows: DataFrame, function, schema: str) -> Dat
     """Join lists of places (wanted: d, h, i, n, f) with their documents and map them."""
     listed = wanted.groupBy(F.col("d").alias("wd"), F.col("h").alias("wh")).agg(F.collect_list(F.struct("f", "i", "n")).alias("places"))
     same = rows.join(listed.hint("merge"), (F.col("d") == F.col("wd")) & (F.col("h") == F.col("wh")))
-    # Rows equal in id and text say the same; what follows takes minima or sets, so they need not be told apart.
+    # Rows equal in id and text say the same and come each; whoever compares what they give must take it once.
     return same.select("d", "h", "text", "places").mapInArrow(function, schema)
 
 
@@ -185,10 +185,13 @@ def _shard_spans(wanted: DataFrame, rows: DataFrame, least: int) -> DataFrame:
     schema = pa.schema([("d", pa.int64()), ("h", pa.int32()), ("i", pa.int32()), ("n", pa.int32())])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, automaton = None, SuffixAutomaton()
+        anchor, automaton, before = None, SuffixAutomaton(), None
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for f, d, h, i, text in zip(*(batch.column(c).to_pylist() for c in ("f", "d", "h", "i", "segment"))):
+                if (f, d, h, i, text) == before:
+                    continue  # of a row that repeats
+                before = (f, d, h, i, text)
                 if f != anchor:
                     anchor, automaton = f, SuffixAutomaton()
                 w = text.split(b" ")
