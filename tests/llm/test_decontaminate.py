@@ -78,3 +78,11 @@ def test_wand_returns_all_above_threshold():
             for k, x in zip(*index.postings[t][:2]):
                 scores[k] = scores.get(k, 0) + x
         assert sorted(k for k, _ in index.search(passage)) == sorted(k for k, x in scores.items() if x >= 0.12 - 1e-9)
+
+
+def test_short_items_are_found_word_for_word(spark):
+    items = [(1, "Who wrote Faust?"), (2, "今天天气怎么样"), (3, "who wrote faust"), (4, "..."), (5, "wrote Faust in seven long years then")]
+    docs = [(10, "He asked: who wrote Faust? Nobody knew."), (11, "Who had wrote Faust"), (12, "他问，今天天气怎么样？"), (13, None), (14, "wrote Faust in seven long years")]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    got = sorted(map(tuple, d.find_leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect()))
+    assert got == [(10, 1, 1.0, 1.0, 1.0, 1.0), (10, 3, 1.0, 1.0, 1.0, 1.0), (12, 2, 1.0, 1.0, 1.0, 1.0)]

@@ -30,7 +30,7 @@ BLOCK_ITEMS = 20_000
 #: Share of an item's own BM25 score from which it is retrieved, and of its shingles that must occur.
 RETRIEVE, OVERLAP = 0.5, 0.8
 SHINGLE = 5
-#: Shorter items name nothing in particular and are not tested.
+#: Shorter items have too few words to share some of them: they are found where they stand as a whole, word for word.
 MIN_WORDS = 8
 K1, B = 1.2, 0.75
 #: Postings in a block of a list.
@@ -53,6 +53,25 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+class Verbatim:
+    """Items found only as whole runs of words, by their length and their words."""
+
+    def __init__(self, items: list[tuple[int | None, list[str]]]) -> None:
+        self.items: dict[int, dict[tuple[str, ...], list[int | None]]] = {}
+        for i, w in items:
+            self.items.setdefault(len(w), {}).setdefault(tuple(w), []).append(i)
+        self.firsts = {n: {w[0] for w in known} for n, known in self.items.items()}
+
+    def match(self, text: str | None, overlap: float = OVERLAP) -> list[tuple[int | None, float, float, float, float]]:
+        words = words_of(text)
+        found = []
+        for n, known in self.items.items():
+            firsts = self.firsts[n]
+            held = {run for i, w in enumerate(words) if w in firsts and (run := tuple(words[i : i + n])) in known}
+            found += [(i, 1.0, 1.0, 1.0, 1.0) for run in sorted(held) for i in known[run]]
+        return found
+
+
 class Index:
     """Posting lists (item number, impact) by word, with the maximum of each block of postings."""
 
@@ -169,29 +188,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIEVE
     """doc_id, item_id, bm25 (share of the item's own score), overlap (of five-word shingles), question_overlap and
     answer_overlap (of words): a row for each row of ``docs`` (doc_id, text) and item of ``benchmark`` (item_id, text) that it holds.
 
-    Words are runs of word characters, lower-cased. Items of fewer than eight words, and null or empty texts on either side,
-    match nothing. Equal items are found each; rows that repeat a doc_id give rows each; null ids are kept; other columns are
-    left. Word counts are those of all items, not of a block. Empty tables give an empty table."""
+    Words are runs of word characters, lower-cased. Items of fewer than eight words are found where all their words stand
+    in a row, with 1 for each share. Null texts and texts without words, on either side, match nothing. Equal items are found each; rows that repeat a doc_id give rows each; null ids are kept; other columns are
+    left. Word counts are those of all items of eight words or more, not of a block. Empty tables give an empty table."""
     schema = "doc_id long, item_id long, bm25 double, overlap double, question_overlap double, answer_overlap double"
     split = F.udf(lambda t: words_of(t), T.ArrayType(T.StringType()))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), split(F.col("text").cast("string")).alias("words")).filter(F.size("words") >= MIN_WORDS)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), split(F.col("text").cast("string")).alias("words")).filter(F.size("words") > 0)
     items = items.withColumn("class", F.ceil(F.log2(F.size("words") / 64.0))).withColumn("class", F.greatest("class", F.lit(0)))
-    items = materialize(items, "benchmark-items")
+    items = materialize(items.withColumn("class", F.when(F.size("words") < MIN_WORDS, -1).otherwise(F.col("class"))), "benchmark-items")
     sizes = {r["class"]: r["n"] for r in items.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = items.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean")).first()
-    df = items.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    scored = items.filter("class >= 0")
+    total = scored.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean")).first()
+    df = scored.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = docs.sparkSession.createDataFrame([], schema)
     for size, n in sorted(sizes.items()):
         for k in range(blocks := -(-n // block_items)):
             block = items.filter((F.col("class") == size) & (F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == k))
             found = sorted(((r.item_id, r.words) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+            if size < 0:
+                out = out.union(_leaks(rows, Verbatim(found), overlap, schema))
+                continue
             counts = {r.word: r.df for r in df.join(block.select(F.explode("words").alias("word")).distinct(), "word").collect()}
             out = out.union(_leaks(rows, Index(found, counts, total["n"], total["mean"], retrieve), overlap, schema))
     return out
 
 
-def _leaks(rows: DataFrame, index: Index, overlap: float, schema: str) -> DataFrame:
+def _leaks(rows: DataFrame, index: Index | Verbatim, overlap: float, schema: str) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(index)
     out = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("bm25", pa.float64()), ("overlap", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
 
