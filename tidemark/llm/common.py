@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -107,11 +109,30 @@ def words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in slices, so that few texts are Python objects at once."""
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows and about so many bytes of text, so that few texts are Python objects at
+    once. One text may be longer than that."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        text = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+        sizes = sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in text), np.zeros(batch.num_rows, np.int64))
+        part = np.cumsum(sizes) // most
+        edges = np.flatnonzero((part[1:] != part[:-1]) | (np.arange(1, batch.num_rows) % rows == 0)) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+            if hi > lo:
+                yield batch.slice(lo, hi - lo)
+
+
+def filter_rows(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:
+    """The rows of ``docs`` whose texts pass: rows go through Python as they are, and nothing is shuffled. ``make`` gives the
+    function that tells which texts of a list stay; it is called in each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in pieces(batches):
+            texts = [t.decode("utf-8", "replace") if isinstance(t, bytes) else t for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(keep(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:

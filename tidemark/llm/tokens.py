@@ -2,8 +2,9 @@
 
 Documents are dealt by range of doc_id, so the shards follow each other in that order. A task encodes its documents and
 writes shards of bounded size: bit planes of a wavelet matrix over the ids, a rank directory for each plane and the
-documents' offsets, every section compressed on its own in one file. A reader can get a token, count a token in a range or
-find its k-th place without decoding the other planes' tokens, or decode all ids.
+documents' offsets, every section compressed on its own in one file, planes in blocks. A reader gets a token, counts a token
+in a range or finds its k-th place by reading ranges of the file: the header, and of each plane its rank directory and the
+blocks on the way. It can also decode all ids.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ import json
 import os
 import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,27 +24,68 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, per_worker, read_file, running_total, work_dir, write_file
+from tidemark.llm.common import file_system, materialize, per_worker, pieces, running_total, work_dir, write_file
 
 MAGIC = b"TMWAVE1\n"
 #: Ids in a shard: a document is never cut, so one longer than this makes a longer shard.
 SHARD_TOKENS = 1_000_000
 #: Bits of a plane for each entry of its rank directory.
 RANK_STEP = 512
-#: Distinct chunks of text whose ids a task remembers.
-CACHE_CHUNKS = 400_000
+#: Bytes of a plane that are compressed together, a multiple of the rank directory's step.
+PLANE_BLOCK = 1 << 15
+#: Words in a generation of those whose ids a worker remembers.
+CACHE_WORDS = 150_000
+#: Chunks encoded as one string.
+JOINED = 2000
+#: A chunk's stem, up to a Latin letter or a digit, and the ASCII marks after it.
+STEM_AND_MARKS = r"^(?P<stem>.*[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])(?P<marks>[!-/:-@\[-`{-~]+)$"
 #: How byte-level vocabularies write a space.
 SPACE_SIGN = "Ġ"
 #: White space other than space and line feed: a text with some is encoded whole.
 OTHER_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
-#: Text that is cut in chunks at once.
-SLICE_BYTES = 2 << 20
+#: Stems that are one pre-token: Latin letters, or digits.
+PRE_TOKEN = r"^(?:[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+|[0-9]+)$"
+#: Text that is cut in chunks at once: distinct chunks repeat more in longer slices.
+SLICE_BYTES = 8 << 20
+
+
+class Lazy:
+    """An array that is made when it is first asked for."""
+
+    def __init__(self, make: Callable[[], np.ndarray]) -> None:
+        self.make, self.made = make, None
+
+    def __getitem__(self, i: int) -> int:
+        if self.made is None:
+            self.made = self.make()
+        return self.made[i]
+
+
+class Plane:
+    """The bytes of a bit plane, read in blocks of ``PLANE_BLOCK``; slices lie in one block, or are the whole plane."""
+
+    def __init__(self, size: int, read: Callable[[int], np.ndarray]) -> None:
+        self.size, self.read, self.blocks = size, read, {}
+
+    def block(self, i: int) -> np.ndarray:
+        if i not in self.blocks:
+            self.blocks[i] = self.read(i)
+        return self.blocks[i]
+
+    def __getitem__(self, at: int | slice) -> np.ndarray:
+        if isinstance(at, slice):
+            k = at.start // PLANE_BLOCK
+            return self.block(k)[at.start - k * PLANE_BLOCK : at.stop - k * PLANE_BLOCK] if at.stop > at.start else np.zeros(0, np.uint8)
+        return self.block(at // PLANE_BLOCK)[at % PLANE_BLOCK]
+
+    def whole(self) -> np.ndarray:
+        return np.concatenate([self.block(i) for i in range(-(-self.size // PLANE_BLOCK))] or [np.zeros(0, np.uint8)])
 
 
 class WaveletMatrix:
     """Bit planes from the highest bit down; at each plane, rows with 0 go before rows with 1, both in order."""
 
-    def __init__(self, n: int, zeros: list[int], planes: list[np.ndarray], ranks: list[np.ndarray]) -> None:
+    def __init__(self, n: int, zeros: list[int], planes: list[np.ndarray] | list[Plane], ranks: list[np.ndarray] | list[Lazy]) -> None:
         self.n, self.zeros, self.planes, self.ranks = n, zeros, planes, ranks
 
     @classmethod
@@ -120,7 +163,8 @@ class WaveletMatrix:
         """All ids."""
         a = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for k, level in enumerate(range(len(self.planes) - 1, -1, -1)):
-            bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            plane = self.planes[level]
+            bit = np.unpackbits(plane.whole() if isinstance(plane, Plane) else plane, count=self.n).view(bool)
             a[self.zeros[level] :] |= a.dtype.type(1 << k)
             back = np.empty_like(a)
             back[np.flatnonzero(~bit)] = a[: self.zeros[level]]
@@ -129,36 +173,56 @@ class WaveletMatrix:
         return a.astype(np.uint32)
 
 
+def _blocks(plane: np.ndarray) -> list[bytes]:
+    return [plane[at : at + PLANE_BLOCK].tobytes() for at in range(0, plane.size, PLANE_BLOCK)]
+
+
 def shard_bytes(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
-    """The file of a shard: header, then sections compressed one by one."""
+    """The file of a shard: header, then sections compressed one by one. A plane is a section for each ``PLANE_BLOCK`` bytes."""
     wave, press = WaveletMatrix.build(ids), zstandard.ZstdCompressor(level=1)
     null = np.array([x is None for x in doc_ids], bool)
-    arrays = [("doc_ids", np.array([0 if x is None else x for x in doc_ids], "<i8")), ("doc_null", np.packbits(null)), ("lengths", np.array(lengths, "<i8"))]
-    arrays += [(f"plane{k}", p) for k, p in enumerate(wave.planes)] + [(f"rank{k}", r.astype("<u4")) for k, r in enumerate(wave.ranks)]
-    sections = [(name, press.compress(a.tobytes())) for name, a in arrays]
+    parts = [("doc_ids", np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes()), ("doc_null", np.packbits(null).tobytes()), ("lengths", np.array(lengths, "<i8").tobytes())]
+    parts += [(f"rank{k}", r.astype("<u4").tobytes()) for k, r in enumerate(wave.ranks)]
+    parts += [(f"plane{k}.{i}", block) for k, p in enumerate(wave.planes) for i, block in enumerate(_blocks(p))]
+    sections = [(name, press.compress(data)) for name, data in parts]
     head = json.dumps({"n": wave.n, "docs": len(doc_ids), "zeros": wave.zeros, "sections": [[name, len(data)] for name, data in sections]}).encode()
     return MAGIC + struct.pack("<I", len(head)) + head + b"".join(data for _, data in sections)
 
 
 class ShardFile:
-    """A shard's file, opened for reading; sections are read and inflated when they are needed."""
+    """A shard's file, opened for reading. Sections are read by their range and inflated when they are needed, so a token is
+    got, counted or found from the header, the rank directories and a block of each plane."""
 
-    def __init__(self, data: bytes) -> None:
-        if data[:8] != MAGIC:
+    def __init__(self, read: Callable[[int, int], bytes]) -> None:
+        """``read``: the bytes of the file from a place on, so many."""
+        first = read(0, 12)
+        if first[:8] != MAGIC:
             raise ValueError("not a token shard")
-        (size,) = struct.unpack("<I", data[8:12])
-        self.head, at, self.at, self.data = json.loads(data[12 : 12 + size]), 12 + size, {}, data
+        (size,) = struct.unpack("<I", first[8:12])
+        self.head, at, self.at, self.read, self.bytes_read = json.loads(read(12, size)), 12 + size, {}, read, 12 + size
         for name, n in self.head["sections"]:
-            self.at[name] = (at, at + n)
+            self.at[name] = (at, n)
             at += n
 
+    @classmethod
+    def of(cls, data: bytes) -> ShardFile:
+        return cls(lambda at, n: data[at : at + n])
+
     @classmethod
     def open(cls, uri: str) -> ShardFile:
-        return cls(read_file(uri))
+        fs, path = file_system(uri)
+        file = fs.open_input_file(path)
+
+        def read(at: int, n: int) -> bytes:
+            file.seek(at)
+            return file.read(n)
+
+        return cls(read)
 
     def section(self, name: str, dtype: str) -> np.ndarray:
-        lo, hi = self.at[name]
-        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self.data[lo:hi]), dtype)
+        at, n = self.at[name]
+        self.bytes_read += n
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self.read(at, n)), dtype)
 
     @property
     def doc_ids(self) -> list[int | None]:
@@ -170,18 +234,33 @@ class ShardFile:
         return self.section("lengths", "<i8")
 
     def matrix(self) -> WaveletMatrix:
-        k = range(len(self.head["zeros"]))
-        return WaveletMatrix(self.head["n"], self.head["zeros"], [self.section(f"plane{i}", "u1") for i in k], [self.section(f"rank{i}", "<u4") for i in k])
+        """The matrix over the file: planes' blocks and rank directories come when they are asked for."""
+        levels = range(len(self.head["zeros"]))
+        size = -(-self.head["n"] // 8)
+        planes = [Plane(size, lambda i, k=k: self.section(f"plane{k}.{i}", "u1")) for k in levels]
+        return WaveletMatrix(self.head["n"], self.head["zeros"], planes, [Lazy(lambda k=k: self.section(f"rank{k}", "<u4")) for k in levels])
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that begin at ``starts``, one after another."""
+    upto = np.cumsum(sizes, dtype=np.int64)
+    total = int(upto[-1]) if upto.size else 0
+    return values[np.repeat(starts - (upto - sizes), sizes) + np.arange(total, dtype=np.int64)]
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes, dtype=np.int64) - sizes
 
 
 class Encoder:
     """Ids of texts by a byte-level BPE of the tokenizers library, equal to encoding each whole text.
 
-    This vocabulary's pre-tokens never hold white space after another character, nor a stop or comma after a letter. So a text
-    can be cut before each single space and around each single line feed, and a chunk before its last stop or comma. Each
-    distinct chunk is encoded once, many in one string: their ids part at the tokens that start with a space, or at line
-    feeds. Texts where that is not certain (white space next to white space or at the end, a special token's string) are
-    encoded whole."""
+    This vocabulary's pre-tokens never hold white space after another character, nor a letter or digit and a mark. So a text
+    can be cut before each single space and around each single line feed, and a chunk between its last letter and the marks
+    after it. Of a slice of texts each distinct stem and each distinct run of marks is encoded once. A stem of Latin letters or
+    of digits is one pre-token and goes to the library's model as such; others go many in one string, whose ids part at the
+    tokens that start with a space, or at line feeds. Texts where that is not certain (white space next to white space or at
+    the end, a special token's string) are encoded whole."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
@@ -193,47 +272,56 @@ class Encoder:
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.spaced[k] = token.startswith(SPACE_SIGN)
-        self.fixed = {c: self._ids([c])[0].tobytes() for c in "\n.,"}
-        self.feed = np.frombuffer(self.fixed["\n"], "<u4")
-        # Chunks met lately and those met before; what is met again moves up, the rest goes with its generation.
-        self.known, self.older = {"\n": self.fixed["\n"], "": b""}, {}
+        self.feed = self._ids(["\n"])[0]
+        self.model, self.known, self.older = self.tokenizer.model, {}, {}
+        # How byte-level vocabularies write bytes: printable Latin-1 characters as they are, the others from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.byte_signs = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks: those with a space in front as one string, the others as lines."""
-        known, fixed = self.known, self.fixed
-        ended = [c for c in chunks if c[-1] in ".," and c[-2:-1].isalpha()]
-        if ended:
-            plain = {c for c in chunks if c[-1] not in ".," or not c[-2:-1].isalpha()}
-            plain.update(c for c in [c[:-1] for c in ended] if c not in known)
-        else:
-            plain = set(chunks)
-        spaced, bare = [c for c in plain if c[0] == " "], [c for c in plain if c[0] != " "]
-        for part in (spaced[i : i + 2000] for i in range(0, len(spaced), 2000)):
-            (ids,) = self._ids(["".join(part)])
-            self._part(part, ids, np.flatnonzero(self.spaced[ids]), 0)
-        for part in (bare[i : i + 2000] for i in range(0, len(bare), 2000)):
-            (ids,) = self._ids(["\n" + "\n".join(part)])
-            self._part(part, ids, np.flatnonzero(ids == self.feed[0]) if self.feed.size == 1 else np.zeros(0, int), 1)
-        for c in ended:
-            known[c] = known[c[:-1]] + fixed[c[-1]]
-
-    def _part(self, chunks: list[str], ids: np.ndarray, at: np.ndarray, skip: int) -> None:
-        """Cut the ids of chunks in one string at their starts; encode one by one if the starts are not one for each."""
-        if at.size == len(chunks):
-            data, cut = ids.tobytes(), [*(4 * at).tolist(), 4 * ids.size]
-            self.known.update(zip(chunks, [data[x + 4 * skip : y] for x, y in zip(cut, cut[1:])]))
-        else:
-            self.known.update(zip(chunks, [x.tobytes() for x in self._ids(chunks)]))
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has."""
+        ids = self._ids(texts)
+        return np.concatenate([*ids, np.zeros(0, "<u4")]), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _pre_tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that are one pre-token each with a space in front. Words of this slice and lately met ones are
+        remembered; what is met again moves up, the rest goes with its generation."""
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        known, older, tokenize, signs = self.known, self.older, self.model.tokenize, self.byte_signs
+        parts = list(map(known.get, words))
+        for i in [i for i, p in enumerate(parts) if p is None]:
+            w = words[i]
+            if (p := older.get(w)) is None:
+                p = array("I", [t.id for t in tokenize(SPACE_SIGN + (w if w.isascii() else w.encode().decode("latin-1").translate(signs)))]).tobytes()
+            parts[i] = known[w] = p
+        return np.frombuffer(b"".join(parts), np.uint32).astype("<u4", copy=False), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+
+    def _joined(self, chunks: pa.Array, mark: str) -> tuple[np.ndarray, np.ndarray]:
+        """The same for distinct chunks, each with ``mark`` (a space or a line feed) in front of it in one long string. A line
+        feed is no part of a chunk."""
+        ids, sizes = [np.zeros(0, "<u4")], []
+        for at in range(0, len(chunks), JOINED):
+            part = chunks.slice(at, JOINED).to_pylist()
+            (found,) = self._ids([mark + mark.join(part)])
+            starts = np.flatnonzero(self.spaced[found] if mark == " " else found == self.feed[0])
+            if starts.size == len(part) and (mark == " " or self.feed.size == 1):
+                size = np.diff(np.append(starts, found.size))
+                if mark != " ":
+                    found, size = np.delete(found, starts), size - 1
+            else:
+                found, size = self._each([mark + c for c in part] if mark == " " else part)
+            ids.append(found)
+            sizes.append(size)
+        return np.concatenate(ids), np.concatenate([*sizes, np.zeros(0, np.int64)])
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of each text of a string array without nulls.
 
-        Arrow splits and numbers the chunks; each distinct one is looked up once, and the ids are laid out by numpy."""
-        if len(self.known) > CACHE_CHUNKS // 2:
-            self.known, self.older = {"\n": self.fixed["\n"], "": b""}, self.known
+        Arrow splits and numbers the chunks, and the ids are laid out by numpy."""
         odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         whole = iter([self._ids([t])[0].tobytes() for t in texts.filter(pa.array(odd)).to_pylist()])
         cut = iter(self._chunked(texts.filter(pa.array(~odd))))
@@ -245,50 +333,59 @@ class Encoder:
         if not ends.size:
             return []
         numbered = pc.list_flatten(lists).dictionary_encode()
-        index, chunks = numbered.indices.to_numpy(), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        index, chunks = numbered.indices.to_numpy(), numbered.dictionary
         # A chunk stands alone at the start of a text and around a line feed; else it has its space in front.
-        feed = index == (chunks.index("\n") if "\n" in chunks else -1)
+        feed = index == pc.index(chunks, "\n").as_py()
         alone = feed.copy()
         alone[1:] |= feed[:-1]
         alone[0] = True
         alone[ends[:-1]] = True
         code = 2 * index + ~alone
         used = np.flatnonzero(np.bincount(code, minlength=2 * len(chunks)))
-        keys = [" " + chunks[u >> 1] if u & 1 else chunks[u >> 1] for u in used.tolist()]
-        known = self.known
-        parts = list(map(known.get, keys))
-        fresh = [i for i, p in enumerate(parts) if p is None]
-        if fresh:
-            names = [keys[i] for i in fresh]
-            again = {k: p for k, p in zip(names, map(self.older.get, names)) if p is not None}
-            known.update(again)
-            self._learn([k for k in names if k not in again])
-            for i, k in zip(fresh, names):
-                parts[i] = known[k]
-        lengths = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
-        blob, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(lengths, dtype=np.int32) - lengths
-        slot = np.zeros(2 * len(chunks), np.int32)
-        slot[used] = np.arange(used.size, dtype=np.int32)
+        spaced, bare = used[used & 1 == 1] >> 1, used[used & 1 == 0] >> 1
+        ids, sizes = self._known(chunks.take(pa.array(spaced)), chunks.take(pa.array(bare)))
+        starts, slot = _starts(sizes), np.zeros(2 * len(chunks), np.int64)
+        slot[np.concatenate((2 * spaced + 1, 2 * bare))] = np.arange(sizes.size)
         at = slot[code]
-        n = lengths[at]
-        upto = np.cumsum(n, dtype=np.int32)  # a slice has far fewer than 2^31 ids
-        ids = blob[np.repeat(starts[at] - (upto - n), n) + np.arange(upto[-1], dtype=np.int32)].tobytes()
-        stops = (4 * upto[ends - 1].astype(np.int64)).tolist()
-        return [ids[x:y] for x, y in zip([0, *stops], stops)]
-
-
-def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about ``SLICE_BYTES`` of text."""
-    size = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
-    edges = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
-    for lo, hi in zip(edges, edges[1:]):
-        yield batch.slice(lo, hi - lo)
+        size = sizes[at]
+        stops = np.cumsum(size)[ends - 1]
+        data = _gather(ids, starts[at], size).tobytes()
+        return [data[4 * x : 4 * y] for x, y in zip([0, *stops[:-1].tolist()], stops.tolist())]
+
+    def _known(self, spaced: pa.Array, bare: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all distinct chunks, those with a space in front first, and how many each has."""
+        cut = pc.extract_regex(spaced, STEM_AND_MARKS)
+        stems = pc.if_else(cut.is_valid(), pc.struct_field(cut, "stem"), spaced).dictionary_encode()
+        marks = pc.fill_null(pc.struct_field(cut, "marks"), "").dictionary_encode()
+        # Stems of one pre-token or more; chunks that stand alone with words in them, or without: empty ones and line feeds.
+        kinds = [(stems.dictionary, pc.match_substring_regex(stems.dictionary, PRE_TOKEN), self._pre_tokens, lambda c: self._joined(c, " "))]
+        kinds += [(bare, pc.is_in(bare, pa.array(["", "\n"])), self._each, lambda c: self._joined(c, "\n"))]
+        values, found, total = [], [], 0
+        for chunks, plain, one, many in kinds:
+            start, size, plain = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64), plain.to_numpy(zero_copy_only=False)
+            for rows, (ids, n) in ((plain, one(chunks.filter(pa.array(plain)).to_pylist())), (~plain, many(chunks.filter(pa.array(~plain))))):
+                start[rows], size[rows] = total + _starts(n), n
+                values.append(ids)
+                total += ids.size
+            found.append((start, size))
+        ids, n = self._each(marks.dictionary.to_pylist())
+        values.append(ids)
+        # A chunk is its stem's ids, then its marks'.
+        begin, size = (np.zeros((len(spaced) + len(bare), 2), np.int64) for _ in range(2))
+        row = stems.indices.to_numpy()
+        begin[: len(spaced), 0], size[: len(spaced), 0] = found[0][0][row], found[0][1][row]
+        row = marks.indices.to_numpy()
+        begin[: len(spaced), 1], size[: len(spaced), 1] = (total + _starts(n))[row], n[row]
+        begin[len(spaced) :, 0], size[len(spaced) :, 0] = found[1]
+        return _gather(np.concatenate(values), begin.ravel(), size.ravel()), size.sum(axis=1)
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode and write; path, part, seq, docs, tokens of each shard. part and seq give the shards' order."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
+    # Equal rows say the same in any order; a number for each row lets very many of them part.
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange("doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     schema = pa.schema([("path", pa.string()), ("part", pa.int64()), ("seq", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64())])
     end = np.array([end_id], "<u4").tobytes()
 
@@ -303,15 +400,14 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
             write_file(path, shard_bytes(np.frombuffer(b"".join(held), "<u4"), ids, [len(x) // 4 for x in held]))
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([size // 4], pa.int64())], schema=schema)
 
-        for batch in batches:
-            for piece in _pieces(batch):
-                for doc_id, data in zip(piece.column("doc_id").to_pylist(), encoder.encode(piece.column("text"))):
-                    if ids and size // 4 + len(data) // 4 + 1 > shard_tokens:
-                        yield flush()
-                        held, ids, size, seq = [], [], 0, seq + 1
-                    held.append(data + end)
-                    ids.append(doc_id)
-                    size += len(data) + 4
+        for piece in pieces(batches, 1 << 20, SLICE_BYTES):
+            for doc_id, data in zip(piece.column("doc_id").to_pylist(), encoder.encode(piece.column("text"))):
+                if ids and size // 4 + len(data) // 4 + 1 > shard_tokens:
+                    yield flush()
+                    held, ids, size, seq = [], [], 0, seq + 1
+                held.append(data + end)
+                ids.append(doc_id)
+                size += len(data) + 4
         if ids:
             yield flush()
 
