@@ -43,8 +43,12 @@ SPLITS = [[pair for pair in combinations([p for p in range(8) if p not in kind],
 
 #: Of ``similar_groups``: 64-bit parts of the parity bits of the shingles, and pairs of a node that are verified in one part.
 WIDE, PAIRS = 16, 1000
-#: One text in so many is sampled for common shingles; these occur there so often at least, and are so many at most.
-SAMPLE, COMMON, MOST_COMMON = 8, 8, 200_000
+#: Minima of a band and bands of a text: similar texts share a band's list with a chance of 1 - (1 - similarity^4)^32, which
+#: misses one link in twenty million at a similarity of 0.8, and fewer above.
+BAND, BANDS = 4, 32
+_MIX = np.random.default_rng(2024).integers(0, 1 << 63, (2, BAND * BANDS), dtype=np.uint64)
+#: Rows (two longs) of a table that is broadcast; a longer one is joined by shuffles.
+MOST_BROADCAST = 2_000_000
 
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
@@ -78,14 +82,18 @@ def shingle_set(text: bytes | None, width: int) -> tuple[int, np.ndarray] | None
     return np.array(digest(data), np.uint64).view(np.int64).item(), np.unique(made.view(np.int64))
 
 
-def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The first shingles in an order that is the same for all texts, so many that two texts with ``similarity`` share one:
-    those not in ``common`` (sorted) by hash, then the others by rank."""
-    if common.size:
-        at = np.minimum(np.searchsorted(common, shingles), common.size - 1)
-        rank = np.where(common[at] == shingles, ranks[at], -1)
-        shingles = shingles[np.argsort(rank, kind="stable")]
-    return shingles[: shingles.size - math.ceil(similarity * shingles.size - 1e-9) + 1]
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """A hash for each band of minima over the shingles' hashes: sets share a minimum with the chance of their similarity."""
+    h, least = shingles.view(np.uint64), np.full(BAND * BANDS, ~np.uint64(0))
+    for at in range(0, h.size, 2048):
+        mixed = h[None, at : at + 2048] * (2 * _MIX[0] + 1)[:, None]
+        mixed += _MIX[1][:, None]
+        np.minimum(least, mixed.min(axis=1), out=least)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND).T:
+        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64)
 
 
 def parity(shingles: np.ndarray) -> list[int]:
@@ -113,23 +121,6 @@ def cross_pairs(component: np.ndarray, size: np.ndarray, bits: np.ndarray, side:
         yield from ((one, b) for b in rest[_may_be(size[rest], bits[rest], size[one], bits[one], similarity)].tolist())
 
 
-def _common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and ranks of the most common shingles in a sample. They only shape the order of ``prefix``, where any order is right."""
-    schema = pa.schema([("w", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            for t in as_bytes(batch, "text"):
-                if xxhash.xxh3_64_intdigest(t or b"") % SAMPLE == 0 and (s := shingle_set(t, width)):
-                    yield from batches_of(schema, [pa.array(s[1])])
-
-    counts = texts.mapInArrow(run, "w long").groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
-    found = counts.orderBy(F.desc("n"), "w").limit(MOST_COMMON).collect()
-    w = np.array([r.w for r in found], np.int64)
-    order = np.argsort(w)
-    return w[order], np.arange(w.size, 0, -1)[order]
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b: nodes) whose sets (node, shingles) have the similarity."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -175,69 +166,112 @@ def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return _both(pairs, nodes, F.struct("size", "bits")).mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, list_size: int = LIST_SIZE) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id reached over links) for each row that has words.
+def _few(table: DataFrame) -> DataFrame:
+    """A table of two columns, to be broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
 
-    Rows are linked if their sets of ``width``-word shingles (A-Z lower-cased, by 64-bit hashes) have a Jaccard similarity of
-    ``similarity`` or more. A text without words is left out; null ids name a group only if all its ids are null.
 
-    Candidates are complete: similar sets share a shingle of their prefixes, so they meet in its list. First each list's members
-    are compared with its smallest and its largest node, which ends lists of up to three and joins most of a large group. In what
-    is left only members of different components are compared, by bounds that rule out no similar pair, in blocks of at most
-    about ``list_size`` members: those of another component than the smallest node against all, for the rest is joined already."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    common, ranks = _common_shingles(texts, width)
-    shared = docs.sparkSession.sparkContext.broadcast((common, ranks))
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("bits", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, key (of the text as it stands) and text of each row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64(F.col("text").cast("binary")), F.lit(0)).alias("key"), F.col("text").cast("binary").alias("text"))
+
+
+def _grouped(docs: DataFrame, width: int, similarity: float, list_size: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key, node of each row that has words; text_node, component of each node."""
+    texts = _rows(docs)
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("bits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            made = [(i, s) for i, t in zip(batch.column("doc_id").to_pylist(), as_bytes(batch, "text")) if (s := shingle_set(t, width))]
-            yield from batches_of(schema, [[i for i, _ in made], [s[0] for _, s in made], [s[1].size for _, s in made], [parity(s[1]) for _, s in made], [prefix(s[1], similarity, *shared.value) for _, s in made]])
+            made = [(i, k, s) for i, k, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text"))) if (s := shingle_set(t, width))]
+            yield from batches_of(schema, [[i for i, _, _ in made], [k for _, k, _ in made], [s[0] for _, _, s in made], [s[1].size for _, _, s in made], [parity(s[1]) for _, _, s in made], [bands(s[1]) for _, _, s in made]])
 
-    own = materialize(texts.mapInArrow(sketch, "doc_id long, node long, size long, bits array<long>, prefix array<long>"), "sketches")
-    nodes = own.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    sketches = materialize(texts.mapInArrow(sketch, "doc_id long, key long, node long, size long, bits array<long>, bands array<long>"), "sketches")
+    own = sketches.select("doc_id", "key", "node")
+    nodes = sketches.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("row"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "texts")
 
-    posted = nodes.select(F.explode("prefix").alias("w"), "node")
+    posted = nodes.select(F.explode("bands").alias("w"), "node")
     lists = posted.groupBy(F.col("w").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("n > 1")
     posted = materialize(posted.join(lists, F.col("w") == F.col("v")).drop("v"), "lists")
     stars = posted.select("node", F.explode(F.array("low", "high")).alias("to")).filter("node <> to")
     stars = materialize(stars.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct(), "stars")
     stars = materialize(_possible(stars, nodes, similarity), "possible-stars")
-    found = materialize(_linked(stars, texts, width, similarity), "star-links")
+    found = materialize(_linked(stars, nodes, texts, width, similarity), "star-links")
     parts = materialize(connected_components(found), "star-components")
     left = materialize(_left_over(posted.filter("n > 3"), nodes, parts, similarity, list_size), "left-over")
     if not left.isEmpty():
-        more = materialize(_linked(left, texts, width, similarity), "links")
+        more = materialize(_linked(left, nodes, texts, width, similarity), "links")
         parts = materialize(connected_components(found.union(more)), "components")
-
-    named = nodes.select(F.col("node").alias("text_node"), "first_id").join(parts, F.col("text_node") == F.col("node"), "left")
-    named = named.select("text_node", "first_id", F.coalesce("component", "text_node").alias("component"))
-    names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    table = named.join(names, "component").select("text_node", "component_id")
-    return own.select("doc_id", "node").join(table, F.col("node") == F.col("text_node")).select("doc_id", "component_id")
+    named = nodes.select(F.col("node").alias("text_node")).join(parts, F.col("text_node") == F.col("node"), "left")
+    return own, named.select("text_node", F.coalesce("component", "text_node").alias("component"))
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are similar; only texts of their nodes are shingled."""
-    schema = pa.schema([("node", pa.int64()), ("text", pa.binary())])
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            words = [b" ".join((t or b"").lower().split()) for t in as_bytes(batch, "text")]
-            words = [t for t in words if t]
-            yield from batches_of(schema, [pa.array(np.array([xxhash.xxh3_64_intdigest(t) for t in words], np.uint64).view(np.int64)), words])
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, list_size: int = LIST_SIZE) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id reached over links) for each row that has words.
 
-    sets_schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    Rows are linked if their sets of ``width``-word shingles (A-Z lower-cased, by 64-bit hashes) have a Jaccard similarity of
+    ``similarity`` or more. A text without words is left out; null ids name a group only if all its ids are null. Very long
+    texts are read whole. An empty table gives an empty table; other columns are left.
+
+    Similar sets meet in the list of a band (``BANDS``). First each list's members are compared with its smallest and its largest
+    node, which ends lists of up to three and joins most of a large group. In what is left only members of different components
+    are compared, by bounds that rule out no similar pair, in blocks of at most about ``list_size`` members: those of another
+    component than the smallest node against all, for the rest is joined already. The exact similarity decides."""
+    own, named = _grouped(docs, width, similarity, list_size)
+    first = own.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    named = first.join(named, F.col("node") == F.col("text_node")).select("node", "first_id", "component")
+    names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    table = named.join(names, "component").select(F.col("node").alias("text_node"), "component_id")
+    return own.join(table, F.col("node") == F.col("text_node")).select("doc_id", "component_id")
+
+
+def drop_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, list_size: int = LIST_SIZE) -> DataFrame:
+    """``docs`` with one row of each group of ``similar_groups``: that of the smallest doc_id, nulls last.
+
+    Of rows with that id the one with the smallest hash of the text stays, and of rows equal in id and text any one. Texts
+    without words are no copies of each other and all stay. Texts are not shuffled for this: what goes is a thin table of ids
+    and hashes."""
+    own, named = _grouped(docs, width, similarity, list_size)
+    rows = own.groupBy("doc_id", "key").agg(F.first("node").alias("node"), F.count(F.lit(1)).alias("n"))
+    rows = materialize(rows.join(named, F.col("node") == F.col("text_node")).select("doc_id", "key", "n", "component"), "group-rows")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    kept = rows.groupBy(F.col("component").alias("of")).agg(F.min(order).alias("kept"))
+    gone = rows.join(kept, F.col("component") == F.col("of")).withColumn("stays", order == F.col("kept"))
+    gone = materialize(gone.filter(~F.col("stays") | (F.col("n") > 1)).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), "stays"), "gone")
+    id_, key = _free(docs, "id"), _free(docs, "key")
+    keyed = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(key, F.coalesce(F.xxhash64(F.col("text").cast("binary")), F.lit(0)))
+    same = F.col(id_).eqNullSafe(F.col("gone_id")) & (F.col(key) == F.col("gone_key"))
+    left = keyed.join(_few(gone), same, "left_anti").select(*docs.columns)
+    repeated = gone.filter("stays")
+    if repeated.isEmpty():
+        return left
+    once = keyed.join(_few(repeated), same).groupBy(id_, key).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return left.unionByName(once.select("row.*"))
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are similar; only one text of each of their nodes is shingled."""
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            yield from batches_of(sets_schema, [batch.column("node"), [shingle_set(t, width)[1] for t in as_bytes(batch, "text")]])
-
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct(), "wanted")
-    named = texts.select("text").mapInArrow(name, "node long, text binary").join(wanted, F.col("node") == F.col("of"), "left_semi")
-    sets = named.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(shingle, "node long, shingles array<long>")
+            yield from batches_of(schema, [batch.column("node"), [shingle_set(t, width)[1] for t in as_bytes(batch, "text")]])
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct()
+    wanted = materialize(nodes.join(wanted, F.col("node") == F.col("of")).select("row.doc_id", "row.key", "node"), "wanted")
+    wanted = wanted.select(F.col("doc_id").alias("of"), F.col("key").alias("its"), "node")
+    named = texts.join(_few(wanted), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("its"))).select("node", "text")
+    # Of rows that are equal one is enough.
+    sets = named.mapInArrow(shingle, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
     return _verified(pairs, materialize(sets, "sets"), similarity)
 
 
