@@ -68,3 +68,47 @@ def test_gradient():
             dense[row, k] += 1 / (hi - lo)
     assert np.allclose(s.mean(x), dense @ x, atol=1e-5) and np.allclose(s.gradient(g), dense.T @ g, atol=1e-5)
     assert np.allclose(s.only(np.array([2, 0])).mean(x), (dense @ x)[[2, 0]], atol=1e-5)
+
+
+def test_scores_match_a_plain_computation(spark):
+    """Each score again, gram by gram and window by window."""
+    rows = corpus(200, 4) + [(900, None, 0), (901, "", 0), (902, "é" * 300 + " idiot", 0), (903, " ".join(["an"] * 36), 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(2)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows[:200]], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    weights = model.weights.astype(np.float32).astype(np.float64)
+
+    def odds(word):
+        marked = "<" + word + ">"
+        grams = [marked[i : i + n] for n in (3, 4) for i in range(len(marked)) if i == 0 or i + n <= len(marked)]
+        return sum(weights[zlib.crc32(g.encode()) % toxicity.BUCKETS] for g in grams) / len(grams)
+
+    def score(text):
+        words = toxicity.words_of(text)
+        bags = [words[i : i + 24] for i in range(0, max(1, len(words) - 12), 12)] if words else []
+        best = max((sum(map(odds, b)) / len(b) for b in bags), default=0.0) + model.bias
+        return 1 / (1 + np.exp(-best))
+
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert all(abs(got[i] - score(t)) < 1e-6 for i, t, _ in rows)
+
+
+def test_long_words_are_read_whole():
+    rows = corpus(500, 1)
+    model = toxicity.fit([t for _, t, _ in rows], [y for _, _, y in rows])
+    assert model.score("a" * 64 + "idiot") != model.score("a" * 64 + "peace")
+    clean = "_".join(["tian", "on", "thed", "anre"] * 30)
+    assert model.score(f"{clean}_stupid_idiot_moron_worthless_pathetic_idiot_{clean}") > 1.5 * model.score(f"{clean}_{clean}")
+    assert "".join(p[:16] for p in toxicity.words_of("abcdefgh" * 40)).startswith("abcdefgh" * 38)
+
+
+def test_training_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "word " * 100) for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    seen = []
+    fit, toxicity.fit = toxicity.fit, lambda texts, y: seen.append(texts)
+    try:
+        toxicity.train(docs, labels, total_bytes=3000)
+    finally:
+        toxicity.fit = fit
+    assert 0 < sum(map(len, seen[0])) <= 3000

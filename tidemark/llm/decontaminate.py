@@ -21,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.llm.common import batches_of, materialize, pieces
+from tidemark.llm.common import batches_of, filter_rows, materialize, pieces
 
 #: Items in an index: bounds what is broadcast.
 BLOCK_ITEMS = 20_000
@@ -189,29 +188,50 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIEVE
     answer_overlap (of words): a row for each row of ``docs`` (doc_id, text) and item of ``benchmark`` (item_id, text) that it holds.
 
     Words are runs of word characters, lower-cased. Items of fewer than eight words are found where all their words stand
-    in a row, with 1 for each share. Null texts and texts without words, on either side, match nothing. Equal items are found each; rows that repeat a doc_id give rows each; null ids are kept; other columns are
-    left. Word counts are those of all items of eight words or more, not of a block. Empty tables give an empty table."""
+    in a row, with 1 for each share. Null texts and texts without words, on either side, match nothing. Very long texts are
+    searched whole; of an item's passages that tie the first counts. Equal items are found each; rows that repeat a doc_id give
+    rows each; null ids are kept; other columns are left. Word counts are those of all items of eight words or more, not of a block. Empty tables give an empty table."""
     schema = "doc_id long, item_id long, bm25 double, overlap double, question_overlap double, answer_overlap double"
-    split = F.udf(lambda t: words_of(t), T.ArrayType(T.StringType()))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), split(F.col("text").cast("string")).alias("words")).filter(F.size("words") > 0)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    out = docs.sparkSession.createDataFrame([], schema)
+    for index in _indexes(benchmark, retrieve, block_items):
+        out = out.union(_leaks(rows, index, overlap, schema))
+    return out
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIEVE, overlap: float = OVERLAP, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows of ``docs`` whose texts hold no item, each by its own text, whatever its doc_id; see ``find_leaks``."""
+    out = docs
+    for index in _indexes(benchmark, retrieve, block_items):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        out = filter_rows(out, lambda shared=shared: lambda texts: [not shared.value.match(t, overlap) for t in texts])
+    return out
+
+
+def _indexes(benchmark: DataFrame, retrieve: float, block_items: int) -> Iterator[Index | Verbatim]:
+    """Indexes of blocks of items; each block comes to the driver when it is its turn."""
+    schema = pa.schema([("item_id", pa.int64()), ("words", pa.list_(pa.string()))])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            yield from batches_of(schema, [batch.column("item_id"), [words_of(t) for t in batch.column("text").to_pylist()]])
+
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(split, "item_id long, words array<string>").filter(F.size("words") > 0)
     items = items.withColumn("class", F.ceil(F.log2(F.size("words") / 64.0))).withColumn("class", F.greatest("class", F.lit(0)))
     items = materialize(items.withColumn("class", F.when(F.size("words") < MIN_WORDS, -1).otherwise(F.col("class"))), "benchmark-items")
     sizes = {r["class"]: r["n"] for r in items.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
     scored = items.filter("class >= 0")
     total = scored.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean")).first()
     df = scored.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = docs.sparkSession.createDataFrame([], schema)
     for size, n in sorted(sizes.items()):
         for k in range(blocks := -(-n // block_items)):
             block = items.filter((F.col("class") == size) & (F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == k))
             found = sorted(((r.item_id, r.words) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
             if size < 0:
-                out = out.union(_leaks(rows, Verbatim(found), overlap, schema))
+                yield Verbatim(found)
                 continue
             counts = {r.word: r.df for r in df.join(block.select(F.explode("words").alias("word")).distinct(), "word").collect()}
-            out = out.union(_leaks(rows, Index(found, counts, total["n"], total["mean"], retrieve), overlap, schema))
-    return out
+            yield Index(found, counts, total["n"], total["mean"], retrieve)
 
 
 def _leaks(rows: DataFrame, index: Index | Verbatim, overlap: float, schema: str) -> DataFrame:

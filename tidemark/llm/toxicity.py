@@ -5,7 +5,8 @@ most n-grams with the word it stands for. A bag is the mean of the word vectors
 over a bag gives its odds. A document is as toxic as its worst bag, however long it is; training starts from whole documents
 as bags, then goes on with each document's worst bag.
 
-Training is on a bounded sample of labelled rows (``TRAIN_ROWS``, each of at most ``TRAIN_BYTES``); scoring covers all rows.
+Training is on a bounded sample of labelled rows (``TRAIN_ROWS``, each of at most ``TRAIN_BYTES`` and together of at most
+``TRAIN_TOTAL``); scoring covers all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -14,32 +15,40 @@ import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches_of, per_worker, pieces
+from tidemark.llm.common import batches_of, filter_rows, per_worker, pieces
 
 #: Bounds of the training sample.
 TRAIN_ROWS = 4000
 TRAIN_BYTES = 65_536
+TRAIN_TOTAL = 24 << 20
 BUCKETS = 1 << 16
 DIM = 8
 WINDOW, STRIDE = 24, 12
 CACHE_WORDS = 300_000
+LONG_WORD = 64
 _WORD = re.compile(r"\w+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Words, lower-cased. A run over ``LONG_WORD`` characters (joined words, scripts without spaces) becomes parts of half that
+    length that overlap by half of theirs, each a word of its own, so that none of it is unread or drowned."""
+    found = _WORD.findall(text.lower()) if text else []
+    if found and max(map(len, found)) > LONG_WORD:
+        half, step = LONG_WORD // 2, LONG_WORD // 4
+        return [p for w in found for p in ([w] if len(w) <= LONG_WORD else [w[i : i + half] for i in range(0, len(w) - step, step)])]
+    return found
 
 
 def subwords(word: str) -> list[int]:
     """Hashed n-grams of 3 and 4 characters of the word with its ends marked."""
-    w = f"<{word[:64]}>"
+    w = f"<{word}>"
     return [zlib.crc32(w[i : i + n].encode("utf-8", "replace")) % BUCKETS for n in (3, 4) for i in range(max(1, len(w) - n + 1))]
 
 
@@ -171,30 +180,47 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES, total_bytes: int = TRAIN_TOTAL) -> ToxicityModel:
     """Fit on the first ``rows`` labelled rows in the order of a hash of their id, without those held out."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     text = docs.select(F.col("doc_id").cast("long").alias("of"), F.col("text").cast("string").alias("text")).filter(F.octet_length("text") <= most_bytes)
-    # At most ``rows`` ids of 12 bytes are broadcast.
-    sample = text.join(F.broadcast(chosen), F.col("of") == F.col("doc_id")).select("doc_id", "toxic", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()
+    # At most ``rows`` ids of 12 bytes are broadcast, and as many texts are summed up.
+    sample = text.join(F.broadcast(chosen), F.col("of") == F.col("doc_id")).select("doc_id", "toxic", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
+    upto = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    sample = sample.withColumn("upto", upto).filter(F.col("upto") <= total_bytes).select("toxic", "text").collect()
     return fit([r.text for r in sample], [r.toxic for r in sample])
 
 
+def _scorer(docs: DataFrame, labels: DataFrame, rows: int) -> Callable[[], ToxicityModel]:
+    """Train; what gives the model in a task."""
+    model = train(docs, labels, rows)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
+    name = uuid.uuid4().hex
+    return lambda: per_worker(("toxicity", name), lambda: ToxicityModel(shared.value[0].astype(np.float64), shared.value[1]))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, each by its own text, whatever its doc_id; see ``score_toxicity``."""
+    model = _scorer(docs, labels, rows)
+
+    def make() -> Callable[[list[str | None]], list[bool]]:
+        own = model()
+        return lambda texts: [own.score(t) < threshold for t in texts]
+
+    return filter_rows(docs, make)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 from ``threshold`` on) of every row of ``docs`` (doc_id, text).
 
     Only texts enter a score. A null or empty text, or one without word characters, gets the empty bag's score. Without
     labels of both classes the score is the share of toxic labels, kept off 0 and 1. Labels whose class is null or whose
     document is missing are left out; rows that repeat a doc_id are scored one by one; other columns are left."""
-    model = train(docs, labels, rows)
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
-    name = uuid.uuid4().hex
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+    model, schema = _scorer(docs, labels, rows), pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value
-        own = per_worker(("toxicity", name), lambda: ToxicityModel(weights.astype(np.float64), bias))
+        own = model()
         for batch in pieces(batches):
             yield from batches_of(schema, [batch.column("doc_id"), [own.score(t) for t in batch.column("text").to_pylist()]])
 
