@@ -25,7 +25,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, batches_of, materialize, per_worker, words
+from tidemark.llm.common import as_bytes, batches_of, materialize, per_worker, pieces, words
 
 MIN_WORDS = 20
 #: Words of an anchor, about a third of a window.
@@ -34,7 +34,6 @@ SHARD_SEGMENTS = 1000
 #: Words in a reference shard of ``dedup_against``.
 SHARD_WORDS = 200_000
 CACHE_WORDS = 400_000
-NULL_ID = -(1 << 63)
 
 
 class SuffixAutomaton:
@@ -138,42 +137,40 @@ def segments(text_words: list[bytes], hashes: dict, least: int = MIN_WORDS, k: i
 def _rows(docs: DataFrame) -> DataFrame:
     """d, h, text: the id (null below all), a hash that tells rows of the same id apart, the text as bytes."""
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.coalesce(F.hash(text), F.lit(0)).alias("h"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def _segments(rows: DataFrame, least: int) -> DataFrame:
-    schema = pa.schema([("f", pa.int64()), ("s", pa.int64()), ("d", pa.int64()), ("h", pa.int32()), ("i", pa.int32()), ("n", pa.int32())])
+    schema = pa.schema([("f", pa.int64()), ("s", pa.int64()), ("d", pa.int64()), ("h", pa.int64()), ("i", pa.int32()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = per_worker("word hashes", _Hashes)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
-                if len(hashes) > CACHE_WORDS:
-                    hashes.clear()
-                made = [segments(words(t), hashes, least, min(ANCHOR_WORDS, least)) for t in as_bytes(piece, "text")]
-                who = pa.array(np.repeat(np.arange(len(made)), [len(m[0]) for m in made]))
-                s = np.array([x for m in made for x in m[1]], np.uint64).view(np.int64)
-                f, i, n = (np.concatenate([m[c] for m in made]) for c in (0, 2, 3))
-                yield from batches_of(schema, [pa.array(f), pa.array(s), piece.column("d").take(who), piece.column("h").take(who), pa.array(i.astype(np.int32)), pa.array(n.astype(np.int32))])
+        for piece in pieces(batches):
+            if len(hashes) > CACHE_WORDS:
+                hashes.clear()
+            made = [segments(words(t), hashes, least, min(ANCHOR_WORDS, least)) for t in as_bytes(piece, "text")]
+            who = pa.array(np.repeat(np.arange(len(made)), [len(m[0]) for m in made]))
+            s = np.array([x for m in made for x in m[1]], np.uint64).view(np.int64)
+            f, i, n = (np.concatenate([m[c] for m in made]) for c in (0, 2, 3))
+            yield from batches_of(schema, [pa.array(f), pa.array(s), piece.column("d").take(who), piece.column("h").take(who), pa.array(i.astype(np.int32)), pa.array(n.astype(np.int32))])
 
-    return rows.mapInArrow(run, "f long, s long, d long, h int, i int, n int")
+    return rows.mapInArrow(run, "f long, s long, d long, h long, i int, n int")
 
 
 def _with_text(wanted: DataFrame, rows: DataFrame, function, schema: str) -> DataFrame:
     """Join lists of places (wanted: d, h, i, n, f) with their documents and map them."""
     listed = wanted.groupBy(F.col("d").alias("wd"), F.col("h").alias("wh")).agg(F.collect_list(F.struct("f", "i", "n")).alias("places"))
-    same = rows.join(listed.hint("merge"), (F.col("d") == F.col("wd")) & (F.col("h") == F.col("wh")))
+    same = rows.join(listed.hint("merge"), F.col("d").eqNullSafe(F.col("wd")) & (F.col("h") == F.col("wh")))
     # Rows equal in id and text say the same and come each; whoever compares what they give must take it once.
     return same.select("d", "h", "text", "places").mapInArrow(function, schema)
 
 
 def _shard_spans(wanted: DataFrame, rows: DataFrame, least: int) -> DataFrame:
     """Spans (d, h, i, n words) of segments that hold windows of earlier segments of their anchor."""
-    cut_schema = pa.schema([("f", pa.int64()), ("d", pa.int64()), ("h", pa.int32()), ("i", pa.int32()), ("segment", pa.binary())])
+    cut_schema = pa.schema([("f", pa.int64()), ("d", pa.int64()), ("h", pa.int64()), ("i", pa.int32()), ("segment", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out: list[list] = [[], [], [], [], []]
             for d, h, text, places in zip(*(batch.column(c).to_pylist() for c in ("d", "h", "text", "places"))):
                 w = words(text)
@@ -182,11 +179,11 @@ def _shard_spans(wanted: DataFrame, rows: DataFrame, least: int) -> DataFrame:
                         to.append(v)
             yield from batches_of(cut_schema, out)
 
-    schema = pa.schema([("d", pa.int64()), ("h", pa.int32()), ("i", pa.int32()), ("n", pa.int32())])
+    schema = pa.schema([("d", pa.int64()), ("h", pa.int64()), ("i", pa.int32()), ("n", pa.int32())])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, automaton, before = None, SuffixAutomaton(), None
-        for batch in batches:
+        for batch in pieces(batches, 8192):
             out: list[list] = [[], [], [], []]
             for f, d, h, i, text in zip(*(batch.column(c).to_pylist() for c in ("f", "d", "h", "i", "segment"))):
                 if (f, d, h, i, text) == before:
@@ -201,16 +198,16 @@ def _shard_spans(wanted: DataFrame, rows: DataFrame, least: int) -> DataFrame:
                 automaton.add(w)
             yield from batches_of(schema, out)
 
-    cuts = _with_text(wanted, rows, cut, "f long, d long, h int, i int, segment binary")
-    return cuts.repartition("f").sortWithinPartitions("f", "d", "h", "i").mapInArrow(stream, "d long, h int, i int, n int")
+    cuts = _with_text(wanted, rows, cut, "f long, d long, h long, i int, segment binary")
+    return cuts.repartition("f").sortWithinPartitions("f", "d", "h", "i").mapInArrow(stream, "d long, h long, i int, n int")
 
 
 def _hot_spans(wanted: DataFrame, rows: DataFrame, least: int) -> DataFrame:
     """The same for the segments of hot anchors: windows by 128-bit hashes, all but the earliest of equal ones."""
-    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("d", pa.int64()), ("h", pa.int32()), ("i", pa.int32())])
+    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("d", pa.int64()), ("h", pa.int64()), ("i", pa.int32())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found, out = [], [[], [], []]
             for d, h, text, places in zip(*(batch.column(c).to_pylist() for c in ("d", "h", "text", "places"))):
                 w = words(text)
@@ -222,11 +219,11 @@ def _hot_spans(wanted: DataFrame, rows: DataFrame, least: int) -> DataFrame:
             both = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
             yield from batches_of(schema, [pa.array(both[:, 0]), pa.array(both[:, 1]), *out])
 
-    windows = _with_text(wanted, rows, cut, "w1 long, w2 long, d long, h int, i int")
+    windows = _with_text(wanted, rows, cut, "w1 long, w2 long, d long, h long, i int")
     windows = materialize(windows, "hot-windows")
     place = F.struct("d", "h", "i")
     first = windows.groupBy(F.col("w1").alias("v1"), F.col("w2").alias("v2")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    later = windows.join(first, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2"))).filter(place != F.col("first"))
+    later = windows.join(first, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2"))).filter(~place.eqNullSafe(F.col("first")))
     return later.select("d", "h", "i", F.lit(least).alias("n"))
 
 
@@ -234,13 +231,14 @@ def repeated_spans(docs: DataFrame, least: int = MIN_WORDS, shard_segments: int
     """The rows (d, h, text) and the spans (d, h, i, n words) of windows that start earlier too."""
     rows = _rows(docs)
     all_ = materialize(_segments(rows, least), "segments")
-    often = all_.groupBy(F.col("f").alias("g")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("g")
+    # Written first, so that the join deals out both sides by itself and can split an anchor that very many segments share.
+    often = materialize(all_.groupBy(F.col("f").alias("g")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("g"), "often")
     places = materialize(all_.join(often, F.col("f") == F.col("g")).drop("g"), "repeated-anchors")
     distinct = places.groupBy(F.col("f").alias("g"), F.col("s").alias("t")).agg(F.min(F.struct("d", "h", "i")).alias("first"), F.min("n").alias("m"), F.count(F.lit(1)).alias("c"))
     distinct = materialize(distinct, "distinct-segments")
 
     again = distinct.filter("c > 1").select("g", "t", "first")
-    copies = places.join(again, (F.col("f") == F.col("g")) & (F.col("s") == F.col("t"))).filter(F.struct("d", "h", "i") != F.col("first"))
+    copies = places.join(again, (F.col("f") == F.col("g")) & (F.col("s") == F.col("t"))).filter(~F.struct("d", "h", "i").eqNullSafe(F.col("first")))
     spans = copies.select("d", "h", "i", (F.col("n") + least - 1).cast("int").alias("n"))
 
     counts = materialize(distinct.groupBy(F.col("g").alias("f")).agg(F.count(F.lit(1)).alias("segments")).filter("segments > 1"), "anchors")
@@ -255,7 +253,7 @@ def _removed(rows: DataFrame, spans: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out: list[list] = [[], [], [], []]
             for d, text, gone in zip(*(batch.column(c).to_pylist() for c in ("d", "text", "spans"))):
                 w = words(text)
@@ -266,13 +264,13 @@ def _removed(rows: DataFrame, spans: DataFrame) -> DataFrame:
                     np.add.at(depth, at, 1)
                     np.add.at(depth, at + n, -1)
                     kept = [x for x, k in zip(w, (np.cumsum(depth)[:-1] == 0).tolist()) if k]
-                for to, v in zip(out, (None if d == NULL_ID else d, b" ".join(kept), len(w), len(w) - len(kept))):
+                for to, v in zip(out, (d, b" ".join(kept), len(w), len(w) - len(kept))):
                     to.append(v)
             out[1] = pa.array(out[1], pa.binary()).cast(pa.string())
             yield from batches_of(schema, out)
 
     listed = spans.groupBy(F.col("d").alias("sd"), F.col("h").alias("sh")).agg(F.collect_list(F.struct("i", "n")).alias("spans"))
-    same = rows.join(listed.hint("merge"), (F.col("d") == F.col("sd")) & (F.col("h") == F.col("sh")), "left")
+    same = rows.join(listed.hint("merge"), F.col("d").eqNullSafe(F.col("sd")) & (F.col("h") == F.col("sh")), "left")
     return same.select("d", "text", "spans").mapInArrow(remove, "doc_id long, text string, n_words long, n_removed long")
 
 
@@ -282,7 +280,7 @@ def dedup_substrings(docs: DataFrame, least: int = MIN_WORDS, shard_segments: in
     A word goes if a window of ``least`` words that covers it also starts earlier: in a row with a smaller doc_id, or earlier
     in the same one. Windows are judged on the input. A null text has no words. A null doc_id is below all others. Of rows with
     the same doc_id one, by a hash of the text, is the earlier; rows equal in doc_id and text count as one and are returned
-    each. An empty table gives an empty table; other columns are left."""
+    each. Very long texts are read whole. An empty table gives an empty table; other columns are left."""
     return _removed(*repeated_spans(docs, least, shard_segments))
 
 
@@ -311,16 +309,16 @@ def dedup_against(docs: DataFrame, reference: DataFrame, least: int = MIN_WORDS,
         found = _reference_spans(rows, automaton, least)
         spans = found if spans is None else spans.union(found)
     if spans is None:
-        spans = rows.sparkSession.createDataFrame([], "d long, h int, i int, n int")
+        spans = rows.sparkSession.createDataFrame([], "d long, h long, i int, n int")
     return _removed(rows, spans)
 
 
 def _reference_spans(rows: DataFrame, automaton: SuffixAutomaton, least: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(automaton)
-    schema = pa.schema([("d", pa.int64()), ("h", pa.int32()), ("i", pa.int32()), ("n", pa.int32())])
+    schema = pa.schema([("d", pa.int64()), ("h", pa.int64()), ("i", pa.int32()), ("n", pa.int32())])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out: list[list] = [[], [], [], []]
             for d, h, text in zip(*(batch.column(c).to_pylist() for c in ("d", "h", "text"))):
                 for i, n in found_spans(shared.value.statistics(words(text)), least):
@@ -328,4 +326,4 @@ def _reference_spans(rows: DataFrame, automaton: SuffixAutomaton, least: int) ->
                         to.append(v)
             yield from batches_of(schema, out)
 
-    return rows.mapInArrow(stream, "d long, h int, i int, n int")
+    return rows.mapInArrow(stream, "d long, h long, i int, n int")
