@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections import OrderedDict
@@ -120,6 +123,16 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512, most: int = 4 <<
         for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
             if hi > lo:
                 yield batch.slice(lo, hi - lo)
+        del batch, text
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task, for Python workers live on and hold what they once needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def filter_rows(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:

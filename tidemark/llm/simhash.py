@@ -11,7 +11,6 @@ Lists over ``LIST_SIZE`` are split exactly: of the other 5 bytes at least 2 are
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -48,7 +47,7 @@ WIDE, PAIRS = 16, 1000
 BAND, BANDS = 4, 32
 _MIX = np.random.default_rng(2024).integers(0, 1 << 63, (2, BAND * BANDS), dtype=np.uint64)
 #: Rows (two longs) of a table that is broadcast; a longer one is joined by shuffles.
-MOST_BROADCAST = 2_000_000
+MOST_BROADCAST = 500_000
 
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
