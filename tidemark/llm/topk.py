@@ -1,165 +1,152 @@
 """Exact top-k by inner product: no-random-access (NRA) aggregation over sorted lists, block of candidates by block.
 
-Each task sorts its block's candidates by every component. For a query, list d is read from its good end (from the top for a
-positive weight, from the bottom for a negative one). After each step a candidate has a lower bound (components not yet seen at
-their list's worst value) and an upper bound (at the value the list has come to). When no other candidate's upper bound passes
-the k-th lower bound, reading stops and the remaining candidates' scores are resolved. A task carries each query's k-th
-score from block to block, so later blocks stop sooner.
-
-Queries are dealt in blocks of bounded size, each broadcast for one pass over all candidates.
+A block of candidates has one sorted list for each component. For a query, each list is read from its good end (from the top
+for a positive weight, from the bottom for a negative one), some entries of every list at a time. What has been read gives each
+candidate a lower bound (components not yet read at their list's worst value) and an upper bound (at the value the list has come
+to). Candidates whose upper bound is below the k-th lower bound are out. When no outsider can qualify, reading stops, and the
+scores of those that are left are resolved as whole numbers. A query's k-th score goes on from block to block.
+
+Queries are a table like the candidates. Both are cut in groups of bounded size, and each pair of a candidate group and a query
+group is one task of a cogrouped job; it gives the k best of each query, and an aggregation keeps the best of all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches_of, materialize
+from tidemark.llm.common import materialize
 
-#: Queries broadcast at once and candidates sorted at once.
-QUERY_BLOCK, CANDIDATE_BLOCK = 32_768, 4096
-#: Values are whole numbers up to this, so that sums of products are exact in 64 bits.
-LARGEST = 1 << 24
-#: Depths, as shares of a list's length, at which bounds are compared.
-DEPTHS = (0.35, 0.5, 0.65, 0.8)
-#: Queries that read the lists in step.
-QUERIES_AT_ONCE = 512
+#: Vector components in a group of candidates and in one of queries, about.
+CANDIDATE_VALUES, QUERY_VALUES = 1 << 22, 1 << 20
+#: Groups of candidates that are made in any case, if they have ``LEAST_ROWS`` each: they are what runs in parallel.
+LEAST_GROUPS, LEAST_ROWS = 64, 4096
+#: Candidates whose lists are sorted together.
+BLOCK = 4096
+#: Steps in which a list is read; bounds are compared after each.
+STEPS = 8
+#: Candidates left, as multiples of k or as a share of the block, at which their scores are resolved.
+FEW, SHARE = 4, 1 / 32
 
 
-class SortedLists:
-    """A block of candidates with one sorted list for each component.
+def whole_numbers(x: np.ndarray) -> np.ndarray:
+    """floor(256 x) of each component, as whole numbers in doubles: scaling by 256 is exact."""
+    return np.floor(x.astype(np.float64) * 256.0)
+
+
+def inner_products(q: np.ndarray, x: np.ndarray) -> list[int]:
+    """Exact inner products of a vector with rows, all whole numbers in doubles; an error where one passes 64 bits."""
+    size = float(np.abs(q).max(initial=0.0)) * float(np.abs(x).max(initial=0.0)) * max(1, q.size)
+    if size < 2.0**53:
+        return (x @ q).astype(np.int64).tolist()
+    weights = [int(v) for v in q]
+    out = [sum(w * int(v) for w, v in zip(weights, row)) for row in x]
+    if any(not -(1 << 63) <= s < 1 << 63 for s in out):
+        raise OverflowError("an inner product passes 64 bits")
+    return out
 
-    Many queries read the lists in step: at a depth, a list's entries beyond it are seen from the top for positive weights and
-    from the bottom for negative ones, so the bounds of all candidates for all queries are products of two matrices."""
+
+class SortedLists:
+    """A block of candidates, ``x`` whole numbers in doubles, with a list for each component from either end."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
-        self.ids, self.x = ids, x.astype(np.float64)
-        order = np.argsort(self.x, axis=0, kind="stable")
-        self.rank = np.empty(order.shape, np.int32)
-        np.put_along_axis(self.rank, order, np.broadcast_to(np.arange(len(ids), dtype=np.int32)[:, None], order.shape), axis=0)
-        self.sorted = np.take_along_axis(self.x, order, axis=0)
-
-    def _sums(self, depth: int, up: np.ndarray, down: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """What is seen at a depth counts; the rest counts ``up`` for positive weights and ``down`` for negative ones."""
-        n = len(self.ids)
-        seen = np.concatenate((np.where(self.rank >= n - depth, self.x - up, 0.0), np.where(self.rank < depth, self.x - down, 0.0)), axis=1)
-        both = np.concatenate((np.maximum(q, 0.0), np.minimum(q, 0.0)), axis=1)
-        return seen @ both.T + both @ np.concatenate((up, down))
-
-    def upper(self, depth: int, q: np.ndarray) -> np.ndarray:
-        return self._sums(depth, self.sorted[len(self.ids) - depth], self.sorted[depth - 1], q)
-
-    def lower(self, depth: int, q: np.ndarray) -> np.ndarray:
-        return self._sums(depth, self.sorted[0], self.sorted[-1], q)
-
-    def top(self, queries: np.ndarray, k: int, own: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """query (its row), score and id of the k best of each query that reach its ``least``, without the ids in ``own``:
-        higher scores first, then smaller ids."""
-        n, q = len(self.ids), queries.astype(np.float64)
-        left, pairs = np.arange(len(q)), []
-        foreign = self.ids[:, None] != own[None, :]
-        for share in (*DEPTHS, 1.0):
-            depth = max(1, int(n * share))
-            floor = least[left]
-            if n > k and not np.isfinite(floor).all():
-                bound = np.where(foreign[:, left], self.lower(depth, q[left]), -np.inf)
-                floor = np.maximum(floor, np.partition(bound, n - k, axis=0)[n - k])
-            alive = (self.upper(depth, q[left]) >= floor) & foreign[:, left]
-            done = (alive.sum(axis=0) <= max(4 * k, n // 50)) | (depth == n)
-            c, j = np.nonzero(alive[:, done])
-            pairs.append((left[done][j], c))
-            left = left[~done]
-            if not left.size:
-                break
-        j, c = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
-        scores = np.concatenate([np.einsum("ij,ij->i", q[j[i : i + 50_000]], self.x[c[i : i + 50_000]]) for i in range(0, j.size, 50_000)] or [np.zeros(0)])
-        order = np.lexsort((self.ids[c], -scores, j))
-        j, c, scores = j[order], c[order], scores[order]
-        nth = np.arange(j.size) - np.searchsorted(j, j)
-        keep = (nth < k) & (scores >= least[j])
-        return j[keep], scores[keep], self.ids[c[keep]]
-
-
-class Best:
-    """The k best so far of each query, as arrays of rows."""
-
-    def __init__(self, n: int, k: int) -> None:
-        self.k, self.least = k, np.full(n, -np.inf)
-        self.query, self.score, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-
-    def add(self, query: np.ndarray, score: np.ndarray, id_: np.ndarray) -> None:
-        query, score, id_ = np.concatenate((self.query, query)), np.concatenate((self.score, score)), np.concatenate((self.id, id_))
-        order = np.lexsort((id_, -score, query))
-        query, score, id_ = query[order], score[order], id_[order]
-        nth = np.arange(query.size) - np.searchsorted(query, query)
-        keep = nth < self.k
-        self.query, self.score, self.id = query[keep], score[keep], id_[keep]
-        full = nth[keep] == self.k - 1
-        self.least[self.query[full]] = self.score[full]
-
-
-def _numbers(vectors: DataFrame) -> DataFrame:
-    """vec_id and whole-number components; vectors with a null or non-finite component take no part."""
-    x = F.col("embedding").cast("array<double>")
-    good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).filter(
-        F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.col("vec_id").isNotNull()
-    )
-    whole = F.transform("x", lambda v: F.floor(F.greatest(F.least(v * 256, F.lit(float(LARGEST))), F.lit(-float(LARGEST)))))
-    return good.select("vec_id", whole.cast("array<long>").alias("x"))
-
-
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, query_block: int = QUERY_BLOCK) -> DataFrame:
+        self.ids, self.x = ids, x
+        order = np.argsort(x, axis=0, kind="stable").T.astype(np.int32)
+        values = np.take_along_axis(x.T, order, axis=1)
+        #: By direction (0: from the smallest, 1: from the largest), component, place. ``cell``: of the entry in a table of
+        #: candidates by components.
+        self.order, self.values = np.stack((order, order[:, ::-1])), np.stack((values, values[:, ::-1]))
+        self.cell = self.order.astype(np.intp) * x.shape[1] + np.arange(x.shape[1])[:, None]
+        self.largest, self.unread = float(np.abs(x).max(initial=0.0)), np.empty(x.shape)
+
+    def search(self, q: np.ndarray, k: int, own: int, least: int | None = None) -> tuple[list[tuple[int, int]], int]:
+        """score and id of the k best that reach ``least`` (higher scores first, then smaller ids), without ``own``; and how
+        many entries of each list were read."""
+        n, lists = self.x.shape[0], np.arange(q.size)
+        alive, depth, few = np.flatnonzero(self.ids != own), 0, max(FEW * k, int(n * SHARE))
+        end = (q > 0).astype(np.intp)
+        # Sums of whole numbers are exact up to 2^53; beyond, bounds get the room that rounding may take.
+        reach = float(np.abs(q).sum()) * self.largest
+        room = 0.0 if reach < 2.0**51 else reach * (q.size + 4) * 2.0**-50
+        worst = self.values[1 - end, lists, 0] * q
+        lower, unread, each = np.full(n, worst.sum()), self.unread, max(1, -(-n // STEPS))
+        unread.fill(1.0)
+        while q.size and depth < n and alive.size > few and np.isfinite(reach):
+            upto = min(n, depth + each)
+            read = end, lists, slice(depth, upto)
+            gain = self.values[read] * q[:, None]
+            lower += np.bincount(self.order[read].ravel(), (gain - worst[:, None]).ravel(), n)
+            unread.reshape(-1)[self.cell[read].ravel()] = 0.0
+            depth, bounds = upto, lower[alive]
+            floor = np.partition(bounds, alive.size - k)[alive.size - k]
+            if least is not None:
+                floor = max(floor, float(least))
+            upper = bounds + (unread @ (gain[:, -1] - worst))[alive]
+            alive = alive[upper >= floor - room]
+        scores = inner_products(q, self.x[alive])
+        found = sorted((-s, i) for s, i in zip(scores, self.ids[alive].tolist()) if least is None or s >= least)[:k]
+        return [(-s, i) for s, i in found], depth
+
+
+def best_of(queries: list[tuple[int, np.ndarray]], ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """query, id, score of the k best candidates of each query, block by block."""
+    best: list[list[tuple[int, int]]] = [[] for _ in queries]
+    for at in range(0, len(ids), BLOCK):
+        lists = SortedLists(ids[at : at + BLOCK], x[at : at + BLOCK])
+        for j, (own, q) in enumerate(queries):
+            least = best[j][-1][0] if len(best[j]) == k else None
+            found, _ = lists.search(q, k, own, least)
+            best[j] = sorted(best[j] + found, key=lambda r: (-r[0], r[1]))[:k]
+    return [(own, i, s) for (own, _), found in zip(queries, best) for s, i in found]
+
+
+def _vectors(table: pa.Table, name: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """ids and vectors of a table, by the vectors' length."""
+    table = table.combine_chunks()
+    column = table.column("x").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    ids, offsets, flat = table.column(name).to_numpy(), column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    sizes = np.diff(offsets)
+    return {int(z): (ids[rows], whole_numbers(flat[(offsets[:-1][rows][:, None] + np.arange(z)[None, :])])) for z in np.unique(sizes) for rows in [np.flatnonzero(sizes == z)]}
+
+
+def _usable(vectors: DataFrame) -> DataFrame:
+    """vec_id and x of vectors without null or non-finite components."""
+    kind = dict(vectors.dtypes)["embedding"]
+    x = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).filter(F.col("x").isNotNull() & F.col("vec_id").isNotNull())
+    return rows.filter(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, query_values: int = QUERY_VALUES, candidate_values: int = CANDIDATE_VALUES) -> DataFrame:
     """query_id, rank, vec_id, score: the k best inner products of each query with all other rows of ``vectors``
     (vec_id, embedding); queries are the rows whose vec_id is divisible by ``every``.
 
-    A component x becomes floor(256 x), held to 2^24 in size. Ties go to the smaller vec_id. Rows with a null vec_id, and
-    vectors that are null or hold a null or non-finite component, take no part. A query meets vectors of its own length.
-    All rows with the query's vec_id are its own; if several rows share a vec_id, each that is a query asks alike and is
-    answered once, and each that is a candidate may be returned. Fewer candidates than k give fewer rows; other columns are left."""
-    rows = materialize(_numbers(vectors), "vectors")
-    asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    blocks = max(1, -(-asked.count() // query_block))
-    schema = "query_id long, vec_id long, score long"
-    best = None
-    for b in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        block = sorted(((r.vec_id, np.array(r.x, np.int64)) for r in part.collect()), key=lambda r: r[0])
-        found = _search(rows, block, k, schema)
-        best = found if best is None else best.union(found)
+    A component x becomes floor(256 x), x as double, however large; scores are exact whole numbers, and one that passes 64 bits
+    is an OverflowError. Ties go to the smaller vec_id. Rows with a null vec_id, and vectors that are null or hold a null or
+    non-finite component, take no part. A query meets vectors of its own length; without components all scores are 0. All rows
+    with the query's vec_id are its own. If several rows share a vec_id, the query is the smallest of their vectors, as arrays
+    are ordered, and each row is a candidate. Fewer candidates than k give fewer rows, an empty table none; other columns are
+    left."""
+    rows = materialize(_usable(vectors), "vectors")
+    asked = materialize(rows.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("x").alias("x")), "queries")
+    n, values = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("x").cast("long")), F.lit(0))).first()
+    m, asked_values = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("x").cast("long")), F.lit(0))).first()
+    groups = max(1, -(-values // candidate_values), min(LEAST_GROUPS, n // LEAST_ROWS))
+    blocks = max(1, -(-asked_values // query_values))
+    # Dealt by row numbers, so that rows that repeat part too.
+    dealt = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))
+    pair = lambda g, b: (g * blocks + b).alias("pair")
+    left = rows.withColumn("g", dealt(groups)).select("vec_id", "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "g").select(pair(F.col("g"), F.col("b")), "vec_id", "x")
+    right = asked.withColumn("b", dealt(blocks)).select("query_id", "x", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "b").select(pair(F.col("g"), F.col("b")), "query_id", "x")
+
+    def search(candidates: pa.Table, queries: pa.Table) -> pa.Table:
+        rows, asked = _vectors(candidates, "vec_id"), _vectors(queries, "query_id")
+        found = [r for z, (own, q) in asked.items() if z in rows for r in best_of(list(zip(own.tolist(), q)), *rows[z], k)]
+        return pa.table({c: pa.array([r[i] for r in found], pa.int64()) for i, c in enumerate(("query_id", "vec_id", "score"))})
+
+    best = left.groupBy("pair").cogroup(right.groupBy("pair")).applyInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _search(rows: DataFrame, queries: list[tuple[int, np.ndarray]], k: int, schema: str) -> DataFrame:
-    """Each task's k best for each query."""
-    shared = rows.sparkSession.sparkContext.broadcast(queries)
-    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = shared.value
-        own, sizes = np.array([v for v, _ in asked], np.int64), np.array([len(q) for _, q in asked], np.int64)
-        best = Best(len(asked), k)
-        for batch in batches:
-            for at in range(0, batch.num_rows, CANDIDATE_BLOCK):
-                piece = batch.slice(at, CANDIDATE_BLOCK)
-                ids, column = piece.column("vec_id").to_numpy(), piece.column("x")
-                lengths = np.diff(column.offsets.to_numpy())
-                flat = column.values.to_numpy()[column.offsets[0].as_py() :]
-                starts = np.concatenate(([0], np.cumsum(lengths)))
-                for size in np.unique(lengths):
-                    rows_ = np.flatnonzero(lengths == size)
-                    same = np.flatnonzero(sizes == size)
-                    x = flat[(starts[rows_][:, None] + np.arange(size)[None, :]).ravel()].reshape(rows_.size, size)
-                    lists = SortedLists(ids[rows_], x)
-                    for i in range(0, same.size, QUERIES_AT_ONCE):
-                        part = same[i : i + QUERIES_AT_ONCE]
-                        j, score, found = lists.top(np.stack([asked[p][1] for p in part]), k, own[part], best.least[part])
-                        best.add(part[j], score, found)
-        if best.query.size:
-            yield from batches_of(out, [pa.array(own[best.query]), pa.array(best.id), pa.array(best.score.astype(np.int64))])
-
-    return rows.mapInArrow(run, schema)
