@@ -88,4 +88,41 @@ def test_quotas_are_exact_and_hypergeometric(spark):
 
 
 def test_shards_follow_the_size():
-    assert [mixing.shard_levels(n) for n in (0, 10**6, 10**9, 10**13)] == [2, 2, 9, 16]
+    assert [mixing.shard_levels(n) for n in (0, 10**6, 10**9, 10**13)] == [2, 2, 9, 23]
+
+
+def test_many_sources(spark):
+    """More sources than one array holds: every source gets its target, shards their sizes, and blocks one shard each."""
+    rng = random.Random(8)
+    rows = [(i, f"s{rng.randrange(700):03d}" if i % 50 else None, "w " * rng.randint(1, 60)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    got = mixing.plan_mix(docs, levels=3, block_docs=2).collect()
+    sizes, taken, blocks, shards = {}, {}, {}, {}
+    for _, s, t in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    assert len(got) == len(rows) and len(sizes) > 600
+    want = water(sizes)
+    for r in got:
+        assert r.target == pytest.approx(want[r.source])
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        for x in r.draws:
+            blocks.setdefault((r.source, x.block), set()).add(x.shard)
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    assert all(len(s) == 1 and None not in s for s in blocks.values())
+    for (_, _), s in blocks.items():
+        shards[min(s)] = shards.get(min(s), 0) + 1
+    assert set(shards) == set(range(8)) and max(shards.values()) - min(shards.values()) < 0.1 * sum(shards.values())
+
+
+def test_query_columns(spark, tmp_path):
+    from tidemark.llm.queries import op1_mix_sources
+
+    rows = corpus(4)
+    spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, source string, text string, mix_id int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op1_mix_sources(spark, str(tmp_path)).collect()
+    sizes = {}
+    for _, s, t in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    want = sorted(((i, len((t or "").split()), sizes[s]) for i, s, t in rows), key=repr)
+    assert sorted(((r.doc_id, r.size, r.source_size) for r in got), key=repr) == want
+    assert abs(sum(r.taken for r in got) - 1.5 * sum(sizes.values())) <= 2 * len(sizes) and all(0 <= r.taken <= 2 * r.size for r in got)

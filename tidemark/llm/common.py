@@ -50,6 +50,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     if uri.startswith("file:") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]

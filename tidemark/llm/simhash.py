@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, batches_of, materialize, pieces
+from tidemark.llm.common import as_bytes, batches_of, free_name, materialize, pieces
 
 #: Members of a posting list, above which it is split.
 LIST_SIZE = 4096
@@ -238,7 +238,7 @@ def drop_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, list_
     kept = rows.groupBy(F.col("component").alias("of")).agg(F.min(order).alias("kept"))
     gone = rows.join(kept, F.col("component") == F.col("of")).withColumn("stays", order == F.col("kept"))
     gone = materialize(gone.filter(~F.col("stays") | (F.col("n") > 1)).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), "stays"), "gone")
-    id_, key = _free(docs, "id"), _free(docs, "key")
+    id_, key = free_name(docs, "id"), free_name(docs, "key")
     keyed = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(key, F.coalesce(F.xxhash64(F.col("text").cast("binary")), F.lit(0)))
     same = F.col(id_).eqNullSafe(F.col("gone_id")) & (F.col(key) == F.col("gone_key"))
     left = keyed.join(_few(gone), same, "left_anti").select(*docs.columns)
@@ -249,14 +249,6 @@ def drop_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, list_
     return left.unionByName(once.select("row.*"))
 
 
-def _free(df: DataFrame, name: str) -> str:
-    """A column name that the table does not have."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) that are similar; only one text of each of their nodes is shingled."""
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
