@@ -1,5 +1,6 @@
 import math
 import random
+import struct
 
 from tidemark.llm import token_counts as t
 from tidemark.llm.queries import piece_vocabulary
@@ -35,3 +36,25 @@ def test_prefixes_are_computed_once():
         assert trie.count(w) == brute(w, scores)
     assert trie.nodes == len({w[:n] for w in words for n in range(1, len(w) + 1)})
     assert math.isfinite(trie.byte)
+
+
+def unigram_file(path, pieces):
+    """A sentencepiece unigram model, field by field: pieces with scores, the trainer's kind of model, no normalisation."""
+    field = lambda n, data: bytes([n << 3 | 2, len(data)]) + data
+    piece = lambda text, score, kind: field(1, field(1, text.encode()) + b"\x15" + struct.pack("<f", score) + bytes([3 << 3, kind]))
+    model = piece("<unk>", 0.0, 2) + b"".join(piece(p, s, 1) for p, s in pieces.items())
+    path.write_bytes(model + field(2, bytes([3 << 3, 1])) + field(3, field(1, b"identity")))
+    return str(path)
+
+
+def test_a_unigram_model_counts_as_its_own_library_does(spark, tmp_path):
+    import sentencepiece
+
+    rng = random.Random(3)
+    texts = ["▁", *"abcdeé", *sorted({"".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 5))) for _ in range(150)}), *sorted({"▁" + "".join(rng.choice("abcde") for _ in range(rng.randint(1, 3))) for _ in range(60)})]
+    model = unigram_file(tmp_path / "unigram.model", {p: -rng.uniform(2, 12) for p in texts})
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 25))) for _ in range(2000)]
+    rows = [(i, " ".join(words[i * 20 : i * 20 + 20])) for i in range(100)]
+    got = {r.doc_id: r.n_tokens for r in t.count_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), model).collect()}
+    assert got == {i: sum(len(library.encode(w)) for w in x.split()) for i, x in rows}

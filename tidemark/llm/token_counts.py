@@ -4,8 +4,9 @@ Each task puts the distinct pre-tokens of a batch in a trie and walks it in orde
 segmentation of its prefix; it depends on the path alone, so it is computed once for all pre-tokens that share the prefix.
 Only the current path is kept. At a pre-token's last node its token count is stored; documents sum the stored counts.
 
-Scores come from the vocabulary's own order (a public vocabulary lists pieces by falling frequency): the logarithm of Zipf and
-Mandelbrot's law. A character without a piece costs its UTF-8 bytes as tokens.
+Scores are those of a unigram model's file. A file of merges has none; there they come from the vocabulary's own order (it lists
+pieces by falling frequency): the logarithm of Zipf and Mandelbrot's law. A character without a piece costs its UTF-8 bytes as
+tokens.
 """
 
 from __future__ import annotations
@@ -27,13 +28,17 @@ BYTE_PENALTY = 10.0
 
 
 def unigram_scores(path: str) -> dict[str, float]:
-    """Log probability of each ordinary piece of a sentencepiece vocabulary, by rank."""
+    """Log probability of each ordinary piece of a sentencepiece model: a unigram model's own, or by rank where the model has
+    none (a BPE model's scores are whole numbers, the order of its merges)."""
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [p.id_to_piece(i) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
-    total = sum(1 / (k + 2.7) for k in range(len(pieces)))
-    return {piece: -math.log((k + 2.7) * total) for k, piece in enumerate(pieces)}
+    ordinary = [i for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))]
+    own = {p.id_to_piece(i): p.get_score(i) for i in ordinary}
+    if any(s != int(s) for s in own.values()):
+        return own
+    total = sum(1 / (k + 2.7) for k in range(len(own)))
+    return {piece: -math.log((k + 2.7) * total) for k, piece in enumerate(own)}
 
 
 class PrefixTrie:
@@ -79,7 +84,7 @@ def count_tokens(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_words, n_tokens of each row of ``docs`` (doc_id, text), whole texts.
 
     Pre-tokens are words ``[^\\x20\\x09-\\x0D]+``; a null, empty or blank text has none. Ties between segmentations go to the
-    longer last piece. Each row counts for itself, also if its doc_id repeats or is null; other columns are left."""
+    longer last piece. Very long texts and words are counted whole. Each row counts for itself, also if its doc_id repeats or is null; other columns are left."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
