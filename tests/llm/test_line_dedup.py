@@ -13,7 +13,7 @@ LONG = "a line that is certainly longer than forty characters"
 def brute(rows, min_docs=5, min_chars=40):
     key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(SPACE))
     holders, last = defaultdict(set), {}
-    low = lambda i: -(1 << 63) if i is None else i
+    low = lambda i: (-1, 0) if i is None else (0, i)
     for n, (i, t) in enumerate(rows):
         for line in (t or "").split("\n"):
             if len(key(line)) >= min_chars:
@@ -35,6 +35,8 @@ CASES = [
     [(None, LONG)] * 6,
     [(i, "é" * 39 + "\n" + "é" * 40 + "\n" + "x" * 5000) for i in range(5)],
     [(i, " " + LONG) for i in range(5)] + [(i, LONG) for i in range(5, 9)],
+    [(None, LONG)] * 4 + [(-(1 << 63), LONG), (-(1 << 63), f"{LONG}\nx")],
+    [(i, "\n".join([LONG * 2000, f"{i} " * 9000, LONG])) for i in range(6)],
 ]
 
 
@@ -50,12 +52,22 @@ def test_perfect_hash_is_minimal_and_survives_bytes():
     h1, h2 = (rng.integers(0, 1 << 63, 5000, dtype=np.int64).view(np.uint64) for _ in range(2))
     h1[:10] = h1[0]
     assert sorted(line_dedup.PerfectHash.build(h1, h2).numbers(h1, h2)) == list(range(5000))
-    shard = line_dedup.LineShard.from_bytes(line_dedup.LineShard.build(h1, h2, np.arange(5000), np.arange(5000)).to_bytes())
-    known, counts, last = shard.probe(h1, h2)
-    assert known.all() and (counts == np.arange(5000)).all() and (last == np.arange(5000)).all()
+    shard = line_dedup.LineShard.from_bytes(line_dedup.LineShard.build(h1, h2, np.arange(5000), np.arange(5000), np.arange(5000) % 2 == 0).to_bytes())
+    found, counts, last, known = shard.probe(h1, h2)
+    assert (known == (np.arange(5000) % 2 == 0)).all() and shard.index.bits.nbytes + shard.index.rank.nbytes < 5000
+    assert found.all() and (counts == np.arange(5000)).all() and (last == np.arange(5000)).all()
     assert not shard.probe(h2, h1)[0].any()
 
 
 def test_sha_of_kept_text(spark):
     got = line_dedup.dedup_lines(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()
     assert hashlib.sha256(got["text"].encode()).hexdigest() == hashlib.sha256(b"").hexdigest()
+
+
+def test_a_lost_shard_is_an_error(spark, tmp_path):
+    docs = spark.createDataFrame([(i, LONG) for i in range(6)], "doc_id long, text string")
+    folder, n, present = line_dedup.build_line_index(docs)
+    shards = line_dedup._Shards(folder, present)
+    assert n == 1 and present == {0} and shards.get(0).counts.tolist() == [6] and shards.get(5) is None
+    with pytest.raises(FileNotFoundError):
+        line_dedup._Shards(str(tmp_path), present).get(0)

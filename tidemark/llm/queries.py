@@ -79,18 +79,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: DuckDB SQL of the operators that SQL can express.
 OP4_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k
-  FROM documents),
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+lines AS (
+  SELECT r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k
+  FROM docs),
 keyed AS (
   SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
 often AS (
-  SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+  SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT r) >= 5),
 marked AS (
-  SELECT d.doc_id, d.line, d.k, (o.key IS NOT NULL AND o.last_doc <> d.doc_id) AS gone FROM keyed d LEFT JOIN often o USING (key))
+  SELECT d.r, d.doc_id, d.line, d.k, (o.key IS NOT NULL AND o.last_doc IS DISTINCT FROM d.doc_id) AS gone FROM keyed d LEFT JOIN often o USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY r, doc_id
 """
 
 OP8_SQL = """
