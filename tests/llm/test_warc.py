@@ -18,13 +18,13 @@ def brute(rows):
     for i, u, h in rows:
         data = (h or "").encode()
         ref = first[h] if h in first and first[h] != i else None
-        out.append((i, None if u is None else " ".join(u.split()), "response" if ref is None else "revisit", bytearray(data) if ref is None else None, len(data), hashlib.sha256(data).hexdigest(), ref))
+        out.append((i, u, "response" if ref is None else "revisit", bytearray(data) if ref is None else None, len(data), hashlib.sha256(data).hexdigest(), ref))
     return sorted(out, key=repr)
 
 
 def test_round_trip_with_revisits_nulls_and_empty_payloads(spark):
     big = "<p>é\r\n\r\nx</p>" * 20
-    rows = [(5, "http://a/ b\r\nc", big), (3, "u", big), (9, None, big), (None, "n", big), (1, "s", "short"), (2, "s", "short"), (4, None, None), (6, "e", ""), (3, "u", big), (8, "l", "z" * 300_000)]
+    rows = [(5, "http://a/ b\r\nc", big), (3, "u", big), (9, None, big), (None, "n", big), (1, "s", "short"), (2, "s", "short"), (4, None, None), (6, "e", ""), (10, "", "short"), (11, " http://é%20x/\t\x00 ", None), (3, "u", big), (8, "l", "z" * 300_000)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string").repartition(3)
     assert rows_of(warc.archive_pages(pages)) == brute(rows)
 

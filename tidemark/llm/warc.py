@@ -8,9 +8,11 @@ once, from start to end, and rewrites each record as a gzip member of its own; b
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import FileWriter, as_bytes, file_system, materialize, work_dir
+from tidemark.llm.common import FileWriter, file_system, materialize, work_dir
 
 #: Payloads below so many bytes are never revisits.
 MIN_REVISIT_BYTES = 100
@@ -53,7 +55,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     if page_id is not None:
         head.append(("X-Page-Id", str(page_id)))
     if url is not None:
-        head.append(("WARC-Target-URI", " ".join(url.split())))
+        shown = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+        head.append(("WARC-Target-URI", shown))
+        if shown != url:
+            head.append(("X-Target-URI", quote(url, safe="")))  # as it was given
     if is_revisit:
         head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page-Id", str(refers_to))]
     return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -183,7 +188,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                             raise ValueError(f"payload digest differs in {path} at {offset}")
                         whole = lambda k: int(fields[k]) if k in fields else None
                         size = whole("X-Payload-Length") if payload is None else len(payload)
-                        for to, v in zip(rows, (whole("X-Page-Id"), fields.get("WARC-Target-URI"), fields["WARC-Type"], payload, size, digest, whole("X-Refers-To-Page-Id"))):
+                        for to, v in zip(rows, (whole("X-Page-Id"), unquote(fields["X-Target-URI"]) if "X-Target-URI" in fields else fields.get("WARC-Target-URI"), fields["WARC-Type"], payload, size, digest, whole("X-Refers-To-Page-Id"))):
                             to.append(v)
                         held += len(block)
                         if held > 8 << 20:
