@@ -27,19 +27,47 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or in tests, where it is unset, a new one."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``. Where it is unset, a local master gets a new
+    one, and a cluster an error: its executors would write to disks that others do not see."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if where:
         return where.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
     return sc.getCheckpointDir().rstrip("/")
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+#: Folders made by this driver and not yet removed.
+_MADE: list[str] = []
+
+
+def staged(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """What ``make`` returns, written and read back, and where it is; all folders that were made on the way are removed."""
+    since = len(_MADE)
+    df, path = make(), work_dir(spark, name)
+    df.write.parquet(path)
+    remove(spark, [p for p in _MADE[since:] if p != path])
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of ``work_dir``."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+        if p in _MADE:
+            _MADE.remove(p)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
