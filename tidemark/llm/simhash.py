@@ -40,8 +40,8 @@ KINDS = [tuple(p for p in group if p != left) for group in (range(4), range(4, 8
 SPLITS = [[pair for pair in combinations([p for p in range(8) if p not in kind], 2)] for kind in KINDS]
 
 
-#: Of ``similar_groups``: 64-bit parts of the parity bits of the shingles, and pairs of a node that are verified in one part.
-WIDE, PAIRS = 16, 1000
+#: Of ``similar_groups``: 64-bit parts of the parity bits of the shingles.
+WIDE = 16
 #: Minima of a band and bands of a text: similar texts share a band's list with a chance of 1 - (1 - similarity^4)^32, which
 #: misses one link in twenty million at a similarity of 0.8, and fewer above.
 BAND, BANDS = 4, 32
@@ -140,14 +140,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def _both(pairs: DataFrame, table: DataFrame, value) -> DataFrame:
-    """The pairs (a, b: nodes) with the value of a as x and of b as y. A node in very many pairs is dealt out in parts."""
+    """The pairs (a, b: nodes) with the value of a as x and of b as y. Both tables are written ones, so that Spark can split the
+    parts of a node in very many pairs."""
     for key, name in (("a", "x"), ("b", "y")):
-        parts = pairs.groupBy(F.col(key).alias("of")).agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("parts"))
-        own = table.join(parts, F.col("node") == F.col("of")).select("of", value.alias(name), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        many = parts.filter("parts > 1").select(F.col("of").alias("hot"), "parts")
-        other = F.col("b" if key == "a" else "a")
-        pairs = pairs.join(F.broadcast(many), F.col(key) == F.col("hot"), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")).cast("int"), F.lit(0))).drop("hot", "parts")
-        pairs = pairs.join(own.drop("parts").hint("merge"), (F.col(key) == F.col("of")) & (F.col("salt") == F.col("part"))).drop("of", "part", "salt")
+        pairs = pairs.join(table.select(F.col("node").alias("of"), value.alias(name)), F.col(key) == F.col("of")).drop("of")
     return pairs
 
 
@@ -278,6 +274,8 @@ def blocks(posted: DataFrame, parts: DataFrame, list_size: int = LIST_SIZE) -> D
     counts = member.join(lows, F.col("w") == F.col("v")).groupBy("v", "main").agg(F.count_if(F.col("component") != F.col("main")).alias("minor"), F.count_if(F.col("component") == F.col("main")).alias("major"))
     half = list_size / 2
     counts = counts.filter("minor > 0").select("v", "main", F.ceil(F.col("minor") / half).cast("int").alias("l"), F.ceil(F.col("major") / half).cast("int").alias("k"))
+    # Written first, so that the join can split a list that very many texts share.
+    counts = materialize(counts, "list-blocks")
     member = member.join(counts, F.col("w") == F.col("v")).drop("v", "low").withColumn("major", F.col("component") == F.col("main"))
     block = F.pmod(F.xxhash64("node"), F.when(F.col("major"), F.col("k")).otherwise(F.col("l"))).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -355,7 +353,8 @@ def links(nodes: DataFrame, list_size: int = LIST_SIZE, max_wide: int | None = N
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(_mask(p))).alias("value")) for k, p in enumerate(KINDS)])
     posted = nodes.select("node", F.posexplode("fps").alias("nth", "fp")).select("node", "nth", "fp", F.explode(kinds).alias("list"))
     posted = posted.select("nth", "list.kind", "list.value", "fp", "node")
-    sizes = posted.groupBy("nth", "kind", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Written first, so that the join can split a list that very many nodes share.
+    sizes = materialize(posted.groupBy("nth", "kind", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "list-sizes")
     posted = posted.join(sizes, ["nth", "kind", "value"])
     member = ["fp", "node"]
     if max_wide is not None:
@@ -387,26 +386,29 @@ def links(nodes: DataFrame, list_size: int = LIST_SIZE, max_wide: int | None = N
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node it reaches) for the nodes of ``edges`` (a, b longs).
 
-    Large-star and small-star steps until nothing changes; each step's edges are written to the shared folder. Minima are
-    aggregated before they are joined, so a node with very many links is no hot group."""
+    Large-star and small-star steps until every component is a star; each step's edges are written to the shared folder. Minima
+    are aggregated before they are joined, so a node with very many links is no hot group."""
     edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    while True:
+    while _unfinished(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(edges.join(low, "u").filter("m = v").select("u", "v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m")), "minima")
+        with_low = lambda df, low=low: df.join(low, F.col("u") == F.col("of")).drop("of")
+        large = with_low(both.filter("v > u")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.union(with_low(edges).filter("m = v").select("u", "v")).distinct(), "edges")
+        low = materialize(large.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m")), "minima")
+        small = with_low(large, low).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = materialize(small.filter("u <> v").distinct(), "edges")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether some node of the edges (u to a smaller v) has two parents, or a parent and a child."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+    return not nodes.filter((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1))).isEmpty()
+
+
 def simhash_components(docs: DataFrame, width: int = 3, list_size: int = LIST_SIZE) -> DataFrame:
     """doc_id, fp (long), component_id (the smallest doc_id reached over links of at most 3 differing bits) for each row.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches_of, filter_rows, per_worker, pieces
+from tidemark.llm.common import batches_of, filter_rows, give_back, per_worker, pieces
 
 #: Bounds of the training sample.
 TRAIN_ROWS = 4000
@@ -189,7 +189,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes
     sample = text.join(F.broadcast(chosen), F.col("of") == F.col("doc_id")).select("doc_id", "toxic", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
     upto = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
     sample = sample.withColumn("upto", upto).filter(F.col("upto") <= total_bytes).select("toxic", "text").collect()
-    return fit([r.text for r in sample], [r.toxic for r in sample])
+    model = fit([r.text for r in sample], [r.toxic for r in sample])
+    del sample
+    give_back()
+    return model
 
 
 def _scorer(docs: DataFrame, labels: DataFrame, rows: int) -> Callable[[], ToxicityModel]:
