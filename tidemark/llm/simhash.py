@@ -215,8 +215,9 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, lis
     component than the smallest node against all, for the rest is joined already. The exact similarity decides."""
     own, named = _grouped(docs, width, similarity, list_size)
     first = own.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    named = first.join(named, F.col("node") == F.col("text_node")).select("node", "first_id", "component")
-    names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = materialize(first.join(named, F.col("node") == F.col("text_node")).select("node", "first_id", "component"), "named")
+    # Written first, so that the join can split a component of very many nodes.
+    names = materialize(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "names")
     table = named.join(names, "component").select(F.col("node").alias("text_node"), "component_id")
     return own.join(table, F.col("node") == F.col("text_node")).select("doc_id", "component_id")
 
@@ -231,7 +232,8 @@ def drop_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, list_
     rows = own.groupBy("doc_id", "key").agg(F.first("node").alias("node"), F.count(F.lit(1)).alias("n"))
     rows = materialize(rows.join(named, F.col("node") == F.col("text_node")).select("doc_id", "key", "n", "component"), "group-rows")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-    kept = rows.groupBy(F.col("component").alias("of")).agg(F.min(order).alias("kept"))
+    # Written first, so that the join can split a group of very many rows.
+    kept = materialize(rows.groupBy(F.col("component").alias("of")).agg(F.min(order).alias("kept")), "kept")
     gone = rows.join(kept, F.col("component") == F.col("of")).withColumn("stays", order == F.col("kept"))
     gone = materialize(gone.filter(~F.col("stays") | (F.col("n") > 1)).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"), "stays"), "gone")
     id_, key = free_name(docs, "id"), free_name(docs, "key")
@@ -419,6 +421,8 @@ def simhash_components(docs: DataFrame, width: int = 3, list_size: int = LIST_SI
     fps = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     parts = materialize(connected_components(links(fps.select(F.col("fp").alias("node"), F.array("fp").alias("fps")), list_size)), "components")
     named = fps.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    # Written first, so that the join can split a component of very many fingerprints.
+    named = materialize(named, "named")
+    names = materialize(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "names")
     table = named.join(names, "component").select(F.col("fp").alias("of"), "component_id")
     return own.join(table, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
