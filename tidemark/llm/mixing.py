@@ -174,8 +174,8 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int = SEED) -> DataFrame:
         right = F.zip_with("quota", "left", lambda q, n: q - n)
         halves = F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("left").alias("quota")), F.struct((F.col("shard") * 2 + 1).alias("shard"), right.alias("quota")))
         nodes = nodes.select("group", F.explode(halves).alias("half")).select("half.shard", "group", "half.quota")
-        if level % 8 == 7:  # the tree starts as few rows; from here its branches are worked on apart
-            nodes = materialize(nodes.repartition("shard"), "nodes")
+        if level % 4 == 3:  # short plans; the tree starts as few rows, and later its branches are worked on apart
+            nodes = materialize(nodes.repartition("shard") if level > 4 else nodes, "nodes")
     return nodes
 
 
@@ -183,7 +183,8 @@ def _ranges(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     """rk, stretch, low, high, shard: for each source the ranges of permuted blocks that shards take, a row for each stretch of
     blocks that a range meets; a source has about as many stretches as there are shards."""
     own = split_quotas(quotas, levels, seed).select("shard", "group", F.posexplode("quota").alias("pos", "n")).filter("n > 0")
-    own = own.select((F.col("group") * GROUP + F.col("pos")).alias("rk"), "shard", "n")
+    # Written, for it is used several times below and is the end of a long plan.
+    own = materialize(own.select((F.col("group") * GROUP + F.col("pos")).alias("rk"), "shard", "n"), "quotas")
     own = running_total(own, ["rk"], "shard", "n", "low").withColumn("high", F.col("low") + F.col("n"))
     total = own.groupBy(F.col("rk").alias("of")).agg(F.ceil(F.sum("n") / float(1 << levels)).cast("long").alias("width"))
     own = own.join(total, F.col("rk") == F.col("of")).drop("of", "n")
